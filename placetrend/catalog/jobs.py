@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
 from placetrend.catalog import analogues as an
@@ -51,22 +48,31 @@ def building_score(spark, sf_dir):
     return rounded(building.ranked_building(wide), "trend_score")
 
 
-@query(
-    "restaurant_counts",
-    with_ctes(
-        an.NODES_SQL,
-        an.HEXAGON_SQL,
-        "kept AS (SELECT * FROM nodes WHERE amenity = 'restaurant' AND name IS NOT NULL)",
-        f"placed AS (SELECT CAST(2000 + CAST(snapshot[9:10] AS INT) AS INT) AS year, {EAST_SQL} AS x, {NORTH_SQL} AS y FROM kept)",
-    )
-    + " SELECT name AS locality, year, count(*) AS num_restaurants"
-    f" FROM placed JOIN hexagons ON {an.HEXAGON_INSIDE_SQL} GROUP BY 1, 2 ORDER BY 1, 2 DESC",
+COUNTS_SQL = with_ctes(
+    an.NODES_SQL,
+    an.HEXAGON_SQL,
+    "kept AS (SELECT * FROM nodes WHERE amenity = 'restaurant' AND name IS NOT NULL)",
+    f"placed AS (SELECT CAST(2000 + CAST(snapshot[9:10] AS INT) AS INT) AS year, {EAST_SQL} AS x, {NORTH_SQL} AS y"
+    " FROM kept)",
+) + (
+    " SELECT name AS locality, year, count(*) AS num_restaurants"
+    f" FROM placed JOIN hexagons ON {an.HEXAGON_INSIDE_SQL} GROUP BY 1, 2 ORDER BY 1, 2 DESC"
 )
+
+
+@query("restaurant_counts", COUNTS_SQL)
 def restaurant_counts(spark, sf_dir):
     nodes = amenity_nodes(an.tagged_nodes(spark, sf_dir))
     return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir))
 
 
+@query("restaurant_counts_shuffled", COUNTS_SQL)
+def restaurant_counts_shuffled(spark, sf_dir):
+    """The same job as it runs when the polygons are too large to broadcast."""
+    nodes = amenity_nodes(an.tagged_nodes(spark, sf_dir))
+    return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir), broadcast_bytes=0)
+
+
 @query("restaurant_trend", with_ctes(*POISSON_SQL) + f" SELECT {POISSON_COLUMNS} FROM p")
 def restaurant_trend(spark, sf_dir):
     return rounded(restaurants.restaurant_trend(an.part_panel(spark, sf_dir), **SERIES), *POISSON_NUMBERS)
@@ -139,9 +145,7 @@ FIVE_CTES = (an.CUSTOMER_SQL, an.FIVE_SQL, *SOURCES.values(), *SCALED)
     ),
 )
 def normalised_scores(spark, sf_dir):
-    scaled = composite.normalised_scores(five_scores(spark, sf_dir))
-    tagged = [df.select(F.lit(name).alias("indicator"), "locality", "trend_score") for name, df in scaled.items()]
-    return rounded(reduce(DataFrame.unionByName, tagged), "trend_score")
+    return rounded(composite.normalised_scores(five_scores(spark, sf_dir)), "trend_score")
 
 
 FUSED_SQL = "fused AS (SELECT locality, " + ", ".join(

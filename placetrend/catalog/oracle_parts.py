@@ -135,10 +135,11 @@ def poisson(src: str, value: str, out: str) -> str:
   FROM {src}),
 {out}_h AS (
   SELECT locality, count(*) AS n_obs, min(year) AS y0, max(year) AS y1, avg(y) AS m,
-         arg_min(y, year) AS fv, arg_max(y, year) AS lv, min(y) = max(y) AS flat
+         arg_min(y, year) AS fv, arg_max(y, year) AS lv, min(y) = max(y) AS flat,
+         count(*) FILTER (WHERE y > 0) = 1 AND (arg_min(y, year) > 0 OR arg_max(y, year) > 0) AS endless
   FROM {out}_s GROUP BY 1),
 {out}_k(locality, i, b0, b1, moved) AS (
-  SELECT locality, 0, ln(m), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM {out}_h WHERE NOT flat
+  SELECT locality, 0, ln(m), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM {out}_h WHERE NOT flat AND NOT endless
   UNION ALL
   SELECT locality, i + 1, b0 + d0, b1 + d1, abs(d0) + abs(d1)
   FROM (

@@ -145,6 +145,25 @@ def fill_down_section(spark, sf_dir):
     return fill_down(body.unionByName(heads), "section")
 
 
+@query(
+    "fill_down_blocks",
+    with_ctes(an.CUSTOMER_SQL)
+    + f""", grid AS (
+  SELECT (year - {an.SHEET_EPOCH}) * {an.ROW_STRIDE} + CAST(locality AS BIGINT) AS row_idx,
+         CASE WHEN value >= 3 THEN value END AS section FROM customer_panel)
+  SELECT row_idx, last_value(section IGNORE NULLS) OVER
+  (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM grid""",
+)
+def fill_down_blocks(spark, sf_dir):
+    """Many section rows: the fill runs block by block."""
+    start = (F.col("year") - an.SHEET_EPOCH).cast("bigint") * an.ROW_STRIDE
+    rows = an.customer_panel(spark, sf_dir).select(
+        (start + F.col("locality").cast("bigint")).alias("row_idx"),
+        F.when(F.col("value") >= 3, F.col("value")).alias("section"),
+    )
+    return fill_down(rows, "section", listed=0, block_rows=128)
+
+
 # --- sorts, limits, set operations, reshaping ---------------------------------------------------------
 
 

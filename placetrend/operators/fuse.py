@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -28,28 +28,36 @@ def full_outer_chain(scores: Mapping[str, DataFrame], key: str = KEY, score: str
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [joined, *keyless])
 
 
-def fuse_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "trend_score") -> DataFrame:
-    """Same result as the chain when keys are unique per table, with one shuffle instead of four.
-
-    Each table is tagged, all are stacked, and one partial aggregate puts each score in its
-    column. Rows without a key stay apart, one group per table.
-    """
-    names = list(scores)
-    stacked = reduce(
+def stack_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "trend_score") -> DataFrame:
+    """Score tables -> (indicator, locality, trend_score), one below the other."""
+    return reduce(
         DataFrame.unionByName,
         [
-            df.select(key, F.lit(i).alias("_tag"), F.col(score).cast("double").alias("_score"))
-            for i, df in enumerate(scores.values())
+            df.select(F.lit(name).alias("indicator"), key, F.col(score).cast("double").alias(score))
+            for name, df in scores.items()
         ],
     )
-    apart = F.when(F.col(key).isNull(), F.col("_tag")).alias("_apart")
+
+
+def fuse_stacked(
+    stacked: DataFrame, names: Sequence[str], key: str = KEY, score: str = "trend_score"
+) -> DataFrame:
+    """One column per indicator by a partial aggregate; rows without a key stay apart, one group
+    per indicator."""
+    tag = F.col("indicator")
+    apart = F.when(F.col(key).isNull(), tag).alias("_apart")
     return (
         stacked.groupBy(key, apart)
-        .agg(*[F.max(F.when(F.col("_tag") == i, F.col("_score"))).alias(n) for i, n in enumerate(names)])
+        .agg(*[F.max(F.when(tag == n, F.col(score))).alias(n) for n in names])
         .drop("_apart")
     )
 
 
+def fuse_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "trend_score") -> DataFrame:
+    """Same result as the chain when keys are unique per table, with one shuffle instead of four."""
+    return fuse_stacked(stack_scores(scores, key, score), list(scores), key, score)
+
+
 def anti_join_keys(df: DataFrame, keys: DataFrame, key: str = KEY, keep_null: bool = False) -> DataFrame:
     """Rows whose key is not listed. Rows without a key are kept or dropped as told."""
     kept = df.where(F.col(key).isNotNull()).join(keys.select(key).distinct(), key, "left_anti")

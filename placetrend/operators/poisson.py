@@ -145,8 +145,20 @@ def _report(s: Column, year: str) -> Column:
             ),
         )
 
+    positive = F.size(F.filter(s["series"], lambda p: p["y"] > 0))
+    unbounded = F.struct(
+        F.lit("not_converged").alias("status"),
+        F.lit(None).cast("double").alias("growth"),
+        cagr_pct(first, last, span).alias("cagr"),
+        F.lit(None).cast("double").alias("p_value"),
+        F.lit(0.0).alias("explained"),
+    )
     moving = let(points, lambda pts: let(_fit(pts, s["mean"]), lambda fit: fitted(pts, fit)))
-    return F.when(s["low"] == s["high"], constant).otherwise(moving)
+    return (
+        F.when(s["low"] == s["high"], constant)
+        .when((positive == 1) & ((first > 0) | (last > 0)), unbounded)
+        .otherwise(moving)
+    )
 
 
 def poisson_trend(
@@ -159,8 +171,8 @@ def poisson_trend(
 ) -> DataFrame:
     """Growth per year from a Poisson fit on the centred year, with its quality.
 
-    A constant series has growth 0 and p-value 1. A series whose fit has no finite answer (all
-    counts but an end year are zero) is ``not_converged`` and has no score.
+    A constant series has growth 0 and p-value 1. The likelihood has no finite maximum exactly when
+    all counts but that of an end year are zero; such a series is ``not_converged``, without score.
 
     The report is an output of the aggregate itself, so a later filter on it cannot be pushed
     below and make the fit run twice.

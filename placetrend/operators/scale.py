@@ -60,20 +60,38 @@ def minmax(
     return with_global(df, **measures).withColumns(columns_out).drop("_g")
 
 
+def _to_bound(x: Column, top: Column, bottom: Column, bound: float) -> Column:
+    return F.when(x > 0, bound * x / top).when(x < 0, -bound * x / bottom).otherwise(x)
+
+
 def sign_preserving(
     df: DataFrame, column: str = "trend_score", bound: float = fv.SCORE_BOUND
 ) -> DataFrame:
     """Positive values to (0, bound], negative to [-bound, 0); zero and missing stay."""
     x = F.col(column)
     ends = with_global(df, top=F.max(F.when(x > 0, x)), bottom=F.min(F.when(x < 0, x)))
-    scaled = (
-        F.when(x > 0, bound * x / F.col("_g.top"))
-        .when(x < 0, -bound * x / F.col("_g.bottom"))
-        .otherwise(x)
-    )
+    scaled = _to_bound(x, F.col("_g.top"), F.col("_g.bottom"), bound)
     return ends.withColumn(column, scaled).drop("_g")
 
 
+def sign_preserving_stacked(
+    stacked: DataFrame, names: Sequence[str], column: str = "trend_score", bound: float = fv.SCORE_BOUND
+) -> DataFrame:
+    """The same for stacked score tables, each by its own extremes, which one aggregate finds."""
+    x, tag = F.col(column), F.col("indicator")
+    measures = {}
+    for i, name in enumerate(names):
+        measures[f"top{i}"] = F.max(F.when((tag == name) & (x > 0), x))
+        measures[f"bottom{i}"] = F.min(F.when((tag == name) & (x < 0), x))
+
+    def own(end: str) -> Column:
+        return F.coalesce(*[F.when(tag == name, F.col(f"_g.{end}{i}")) for i, name in enumerate(names)])
+
+    ends = with_global(stacked, **measures).withColumns({"_top": own("top"), "_bottom": own("bottom")})
+    scaled = _to_bound(x, F.col("_top"), F.col("_bottom"), bound)
+    return ends.withColumn(column, scaled).drop("_g", "_top", "_bottom")
+
+
 def shrink(
     means: DataFrame,
     prior_weight: float = fv.PRIOR_WEIGHT,

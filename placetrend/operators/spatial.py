@@ -6,6 +6,8 @@ from inside that cell can need. Points then meet polygons by an equi-join on the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,40 +67,58 @@ def cut_into_cells(shapes: DataFrame, cell: float, name: str = "name") -> DataFr
     return tiled.select(name, "_cx", "_cy", near.alias("edges")).where(F.size("edges") > 0)
 
 
-def points_in_polygons(
-    points: DataFrame,
+@dataclass(frozen=True)
+class PolygonGrid:
+    """Polygons cut into cells, with their measured size settled: ``small`` ones may be broadcast."""
+
+    cells: DataFrame
+    cell: float
+    name: str
+    small: bool
+
+
+def polygon_grid(
     polygons: DataFrame,
-    x: str = "x",
-    y: str = "y",
     name: str = "name",
     ring: str = "ring",
     cell: float | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+) -> PolygonGrid:
+    shapes = polygon_edges(polygons, name, ring)
+    cell = cell or choose_cell(shapes)
+    cells = cut_into_cells(shapes, cell, name)
+    edges = F.coalesce(F.sum(F.size("edges")), F.lit(0))
+    size = cells.agg((F.count(F.lit(1)) * ROW_BYTES + edges * EDGE_BYTES).alias("bytes")).first()["bytes"]
+    return PolygonGrid(cells, cell, name, size <= broadcast_bytes)
+
+
+def points_in_grid(
+    points: DataFrame, grid: PolygonGrid, x: str = "x", y: str = "y", salts: int = SALTS
 ) -> DataFrame:
     """Left join: every point with each polygon that strictly contains it, else with NULL.
 
-    The cut polygons are sized first. Within ``broadcast_bytes`` they go to every executor and the
-    points are not shuffled at all. Beyond it both sides are shuffled on the cell, with points
-    salted so that a hot cell is split over ``salts`` tasks.
+    A small grid goes to every executor and the points are not shuffled at all. With a large one
+    both sides are shuffled on the cell, the points salted by content so that a hot cell is split
+    over ``salts`` tasks; count copies of a point together before that.
     """
-    shapes = polygon_edges(polygons, name, ring)
-    cell = cell or choose_cell(shapes)
-    cells = cut_into_cells(shapes, cell, name)
-    size = cells.agg(
-        (F.count(F.lit(1)) * ROW_BYTES + F.coalesce(F.sum(F.size("edges")), F.lit(0)) * EDGE_BYTES).alias("b")
-    ).first()["b"]
+    cells = grid.cells
     located = points.withColumns(
-        {"_px": F.floor(F.col(x) / cell), "_py": F.floor(F.col(y) / cell)}
+        {"_px": F.floor(F.col(x) / grid.cell), "_py": F.floor(F.col(y) / grid.cell)}
     )
     meet = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
-    if size <= broadcast_bytes:
+    if grid.small:
         cells = F.broadcast(cells)
     else:
         located = located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)))
-        cells = cells.withColumn(
-            "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-        )
+        copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+        cells = cells.withColumn("_copy", F.explode(copies))
         meet = meet & (F.col("_salt") == F.col("_copy"))
     inside = strictly_inside(F.col(x), F.col(y), F.col("edges"))
-    return located.join(cells, meet & inside, "left").select(*points.columns, name)
+    return located.join(cells, meet & inside, "left").select(*points.columns, grid.name)
+
+
+def points_in_polygons(
+    points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", salts: int = SALTS, **grid
+) -> DataFrame:
+    """``points_in_grid`` on polygons given as (name, ring)."""
+    return points_in_grid(points, polygon_grid(polygons, **grid), x, y, salts)

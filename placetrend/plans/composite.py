@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from placetrend import fixed_values as fv
 from placetrend.functions.numeric import to_number
 from placetrend.operators.clean import rank_by_score, total_score
-from placetrend.operators.fuse import fuse_scores
-from placetrend.operators.scale import sign_preserving
+from placetrend.operators.fuse import fuse_stacked, stack_scores
+from placetrend.operators.scale import sign_preserving_stacked
 from placetrend.sources.contract import usable_tables
 from placetrend.sources.delimited import read_with_header
+from placetrend.storage import materialise
 
 SCORE_COLUMNS = ("locality", "trend_score")
 
@@ -27,21 +28,30 @@ def read_scores(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Data
     }
 
 
-def normalised_scores(scores: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every score table on [-10, 10], each by its own extremes."""
-    return {name: sign_preserving(df.select(*SCORE_COLUMNS)) for name, df in scores.items()}
+def normalised_scores(scores: Mapping[str, DataFrame], write_first: bool = True) -> DataFrame:
+    """(indicator, locality, trend_score) with every score on [-10, 10] by its own extremes.
+
+    The scores are read twice, for the extremes and for the result. Tables that are still to be
+    computed are therefore written first, stacked, in one go; give ``write_first=False`` for
+    tables that are files already.
+    """
+    stacked = stack_scores(scores)
+    if write_first:
+        stacked = materialise(stacked, "scores")
+    return sign_preserving_stacked(stacked, list(scores))
 
 
-def composite_score(scores: Mapping[str, DataFrame]) -> DataFrame:
+def composite_score(scores: Mapping[str, DataFrame], write_first: bool = True) -> DataFrame:
     """Five score tables -> commune, the five scaled scores and their total, best first.
 
     A locality that an indicator does not know counts as neutral (0) there. Each table must have
     one row per locality, which every score job guarantees.
     """
-    lacking = [name for name in fv.COMPOSITE_SCORES if name not in scores]
+    names = fv.COMPOSITE_SCORES
+    lacking = [name for name in names if name not in scores]
     if lacking:
         raise ValueError(f"missing score tables: {lacking}")
-    scaled = normalised_scores({name: scores[name] for name in fv.COMPOSITE_SCORES})
-    total = total_score(fuse_scores(scaled))
+    scaled = normalised_scores({name: scores[name] for name in names}, write_first)
+    total = total_score(fuse_stacked(scaled, names))
     ranked = rank_by_score(total, "total").withColumnRenamed("locality", "commune")
-    return ranked.select("commune", *fv.COMPOSITE_SCORES, "total")
+    return ranked.select("commune", *names, "total")

@@ -12,25 +12,30 @@ from placetrend.functions.geo import wgs84_to_lv95
 from placetrend.operators.clean import nonnegative, normalise_header, rank_by_score, year_range
 from placetrend.operators.panel import min_years_gate, to_panel
 from placetrend.operators.poisson import poisson_trend
-from placetrend.operators.spatial import points_in_polygons
+from placetrend.operators.spatial import points_in_grid, polygon_grid
 from placetrend.sources.contract import require_columns
 
 COUNT = "num_restaurants"
 
 
 def restaurant_counts(
-    nodes: DataFrame, polygons: DataFrame, amenity: str = fv.AMENITY, **spatial
+    nodes: DataFrame, polygons: DataFrame, amenity: str = fv.AMENITY, **grid_options
 ) -> DataFrame:
     """Amenity nodes and (name, ring) polygons in LV95 -> locality, year, num_restaurants.
 
-    Nodes at one place and year are counted before the spatial join, so copies of a node cost one
-    test, and the joined rows carry their count.
+    With polygons small enough to broadcast, nodes are matched where they are read and only
+    partial counts are shuffled. Otherwise nodes at one place and year are counted first, so that
+    copies of a node are shuffled and tested once.
     """
+    grid = polygon_grid(polygons, **grid_options)
     named = nodes.where(F.col("amenity") == amenity).dropna(subset=["name"])
-    places = named.groupBy("year", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
+    if grid.small:
+        places = named.withColumn("_n", F.lit(1).cast("bigint"))
+    else:
+        places = named.groupBy("year", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
     east, north = wgs84_to_lv95(F.col("lat"), F.col("lon"))
     located = places.select("year", "_n", east.alias("x"), north.alias("y"))
-    matched = points_in_polygons(located, polygons, **spatial).withColumnRenamed("name", "locality")
+    matched = points_in_grid(located, grid).withColumnRenamed(grid.name, "locality")
     counts = (
         matched.dropna(subset=["locality"])
         .groupBy("locality", "year")
@@ -52,20 +57,28 @@ def restaurant_panel(
     return min_years_gate(to_panel(kept, [COUNT]), min_years)
 
 
-def restaurant_trend(
+def fitted_trends(
     counts: DataFrame,
     low: int = fv.RESTAURANT_YEAR_MIN,
     high: int = fv.RESTAURANT_YEAR_MAX,
     exclude: Sequence[int] = (),
     min_years: int = fv.RESTAURANT_MIN_YEARS,
 ) -> DataFrame:
-    """Eight report columns plus ``fit_status`` per locality, best trend first."""
-    panel = restaurant_panel(counts, low, high, exclude, min_years)
-    return rank_by_score(poisson_trend(panel, COUNT, low=low, high=high))
+    """Eight report columns plus ``fit_status`` per locality."""
+    return poisson_trend(restaurant_panel(counts, low, high, exclude, min_years), COUNT, low=low, high=high)
+
+
+def restaurant_trend(counts: DataFrame, **options) -> DataFrame:
+    """The report, best trend first.
+
+    A global sort samples its input before it shuffles it; the narrow report is exchanged first so
+    that the sample does not run every fit a second time.
+    """
+    return rank_by_score(fitted_trends(counts, **options).repartition("locality"))
 
 
 def restaurant_score(counts: DataFrame, **options) -> DataFrame:
-    return restaurant_trend(counts, **options).select("locality", "trend_score")
+    return fitted_trends(counts, **options).select("locality", "trend_score")
 
 
 def constant_series(counts: DataFrame, **options) -> DataFrame:
