@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from placetrend.functions.geo import ring_edges, strictly_inside
 
@@ -20,11 +21,17 @@ SALTS = 16
 
 
 def polygon_edges(polygons: DataFrame, name: str = "name", ring: str = "ring") -> DataFrame:
-    """(name, ring) -> name, edges and bounding box. Several rows may share a name."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return polygons.where(F.size(ring) > 0).select(
+    """(name, ring) -> name, edges and bounding box. Several rows may share a name.
+
+    ``ring`` is one ring of points, or an array of rings: the outer one and its holes.
+    """
+    nested = isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
+    rings = F.col(ring) if nested else F.array(F.col(ring))
+    corners = F.flatten(rings)
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    return polygons.where(F.size(corners) > 0).select(
         name,
-        ring_edges(F.col(ring)).alias("edges"),
+        F.flatten(F.transform(rings, ring_edges)).alias("edges"),
         F.array_min(xs).alias("x_min"),
         F.array_max(xs).alias("x_max"),
         F.array_min(ys).alias("y_min"),

@@ -82,3 +82,13 @@ def test_overlap_gives_a_row_per_polygon(spark):
     got = spatial.points_in_polygons(frame(spark, POINT, [(1, 2.0, 2.0)]), two)
     assert table(got, "id", "name") == [(1, "a"), (1, "b")]
     assert got.where(F.col("name") == "a").count() == 1
+
+
+def test_holes_are_outside(spark):
+    outer = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    hole = [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]
+    schema = "name string, ring array<array<struct<x:double,y:double>>>"
+    ringed = frame(spark, schema, [("town", [outer, hole]), ("enclave", [hole])])
+    points = frame(spark, POINT, [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 4.0, 5.0)])
+    got = spatial.points_in_polygons(points, ringed, cell=3.0)
+    assert table(got, "id", "name") == [(1, "town"), (2, "enclave"), (3, None)]
