@@ -118,7 +118,8 @@ def points_in_grid(
     else:
         located = located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)))
         copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-        cells = cells.withColumn("_copy", F.explode(copies))
+        # measured as too large to broadcast; the planner's estimate ignores what explode adds
+        cells = cells.withColumn("_copy", F.explode(copies)).hint("merge")
         meet = meet & (F.col("_salt") == F.col("_copy"))
     inside = strictly_inside(F.col(x), F.col(y), F.col("edges"))
     return located.join(cells, meet & inside, "left").select(*points.columns, grid.name)
