@@ -17,7 +17,7 @@ from placetrend.operators.panel import KEY, VALUE, YEAR
 
 MAX_STEPS = 60
 STEP_LIMIT = 1.0
-TOLERANCE = 1e-10
+TOLERANCE = 1e-7
 
 
 def _zeros(*names: str) -> Column:

@@ -15,6 +15,7 @@ from placetrend.operators.panel import to_panel
 from placetrend.operators.scale import minmax
 from placetrend.operators.trend import trend_features
 from placetrend.sources.sheet import year_columns
+from placetrend.storage import settled
 
 SCALED = ("slope", "acceleration", "recent_slope", "taux_croissance", "max_logements")
 
@@ -38,11 +39,14 @@ def add_momentum(features: DataFrame) -> DataFrame:
     return minmax(scaled.withColumn("momentum", lead), {"momentum_scaled": "momentum"}, flat=0.0)
 
 
-def building_score(panel: DataFrame, weights: Mapping[str, float] = fv.BUILDING_WEIGHTS) -> DataFrame:
-    scored = add_momentum(trend_features(panel)).withColumn("trend_score", weighted_sum(weights))
+def building_score(
+    panel: DataFrame, weights: Mapping[str, float] = fv.BUILDING_WEIGHTS, write_first: bool = True
+) -> DataFrame:
+    features = settled(trend_features(panel), "building-features", write_first)
+    scored = add_momentum(features).withColumn("trend_score", weighted_sum(weights))
     return scored.select("locality", "trend_score")
 
 
-def ranked_building(wide: DataFrame, building_type: str = fv.BUILDING_TYPE) -> DataFrame:
+def ranked_building(wide: DataFrame, building_type: str = fv.BUILDING_TYPE, **options) -> DataFrame:
     """Wide new-building sheet -> ranked score table."""
-    return rank_by_score(building_score(building_panel(wide, building_type)))
+    return rank_by_score(building_score(building_panel(wide, building_type), **options))

@@ -14,7 +14,7 @@ from placetrend.operators.fuse import fuse_stacked, stack_scores
 from placetrend.operators.scale import sign_preserving_stacked
 from placetrend.sources.contract import usable_tables
 from placetrend.sources.delimited import read_with_header
-from placetrend.storage import materialise
+from placetrend.storage import settled
 
 SCORE_COLUMNS = ("locality", "trend_score")
 
@@ -35,9 +35,7 @@ def normalised_scores(scores: Mapping[str, DataFrame], write_first: bool = True)
     computed are therefore written first, stacked, in one go; give ``write_first=False`` for
     tables that are files already.
     """
-    stacked = stack_scores(scores)
-    if write_first:
-        stacked = materialise(stacked, "scores")
+    stacked = settled(stack_scores(scores), "scores", write_first)
     return sign_preserving_stacked(stacked, list(scores))
 
 

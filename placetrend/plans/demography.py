@@ -13,6 +13,7 @@ from placetrend.functions.text import strip_dotted_code
 from placetrend.operators.clean import drop_aggregate_rows, rank_by_score, segment_sums
 from placetrend.operators.scale import minmax, zscore
 from placetrend.operators.trend import slope
+from placetrend.storage import settled
 
 SLOPE_OF = {
     "slope_jeunes_actifs": "jeunes_actifs_20_34",
@@ -54,22 +55,25 @@ def population_trends(
     )
 
 
-def score_population(trends: DataFrame, weights: Mapping[str, float] = fv.DEMOGRAPHY_WEIGHTS) -> DataFrame:
+def score_population(
+    trends: DataFrame, weights: Mapping[str, float] = fv.DEMOGRAPHY_WEIGHTS, write_first: bool = True
+) -> DataFrame:
     """z-scores -> weighted sum -> 0..100 over all localities; a flat table has no score."""
-    scaled = zscore(trends, list(weights))
+    scaled = zscore(settled(trends, "population-trends", write_first), list(weights))
     raw = scaled.withColumn("_raw", weighted_sum({f"{c}_norm": w for c, w in weights.items()}))
     return minmax(raw, {"trend_score": "_raw"})
 
 
-def demography_detail(segments: DataFrame, **options) -> DataFrame:
-    """Score with its ten explanatory columns."""
+def demography_detail(segments: DataFrame, write_first: bool = True, **options) -> DataFrame:
+    """Score with its explanatory columns, ten in all."""
     trends = population_trends(segments, **options)
     extras = [c for c in trends.columns if c != "locality"]
-    return score_population(trends).select("locality", "trend_score", *extras)
+    scored = score_population(trends, write_first=write_first)
+    return scored.select("locality", "trend_score", *extras)
 
 
 def demography_score(segments: DataFrame, **options) -> DataFrame:
-    return score_population(population_trends(segments, **options)).select("locality", "trend_score")
+    return demography_detail(segments, **options).select("locality", "trend_score")
 
 
 def ranked_demography(sheet: DataFrame, **options) -> DataFrame:

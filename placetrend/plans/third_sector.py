@@ -19,6 +19,7 @@ from placetrend.operators.panel import (
 )
 from placetrend.operators.scale import shrink
 from placetrend.operators.trend import weighted_mean
+from placetrend.storage import settled
 
 MEASURES = ("establishments", "jobs")
 
@@ -55,24 +56,20 @@ def bayes_score(
     value: str = "growth",
     decay: float = fv.TIME_DECAY,
     prior_weight: float = fv.PRIOR_WEIGHT,
+    write_first: bool = True,
 ) -> DataFrame:
     """Recent growth weighs most; localities with little weight lean on the overall mean."""
     aged = with_group_extremes(growth)
     weighted = aged.withColumn("weight", decay_weight(F.col("year"), F.col("max_year"), decay))
-    means = weighted_mean(weighted, value, "weight")
+    means = settled(weighted_mean(weighted, value, "weight"), "growth-means", write_first)
     return shrink(means, prior_weight).select("locality", "trend_score")
 
 
 def third_sector_score(
-    rows: DataFrame,
-    measure: str,
-    last_year: int = fv.THIRD_SECTOR_LAST_YEAR,
-    decay: float = fv.TIME_DECAY,
-    prior_weight: float = fv.PRIOR_WEIGHT,
+    rows: DataFrame, measure: str, last_year: int = fv.THIRD_SECTOR_LAST_YEAR, **options
 ) -> DataFrame:
     """All steps share one shuffle on the locality, after the panel's own."""
-    growth = growth_panel(filled_panel(rows, measure, last_year), measure)
-    return bayes_score(growth, decay=decay, prior_weight=prior_weight)
+    return bayes_score(growth_panel(filled_panel(rows, measure, last_year), measure), **options)
 
 
 def ranked_third_sector(raw: DataFrame, measure: str, **options) -> DataFrame:

@@ -44,3 +44,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, label: str, write_first: bool) -> DataFrame:
+    """``df`` written once if asked, for statistics that a job passes over several times.
+
+    Global statistics, a sort's sample and the result each read their input anew. The input here
+    has one row per locality, while what it is computed from has one per locality and year.
+    """
+    return materialise(df, label) if write_first else df
