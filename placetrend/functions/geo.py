@@ -61,15 +61,17 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     """
 
     def crosses(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        return F.when((e["y1"] > y) != (e["y2"] > y), x < at).otherwise(False)
 
     def touches(e: Column) -> Column:
         turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
         return (
-            x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-            & (turn == 0.0)
+            (turn == 0.0)
+            & (x >= F.least(e["x1"], e["x2"]))
+            & (x <= F.greatest(e["x1"], e["x2"]))
+            & (y >= F.least(e["y1"], e["y2"]))
+            & (y <= F.greatest(e["y1"], e["y2"]))
         )
 
     odd = F.size(F.filter(edges, crosses)) % 2 == 1

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom as DOUBLE, NULL where bottom is zero."""
-    return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
+    return F.when(bottom != 0, top.cast("double") / bottom.cast("double"))
 
 
 def to_number(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrend.operators.clean import rank_by_score
@@ -42,15 +42,20 @@ def stack_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "
 def fuse_stacked(
     stacked: DataFrame, names: Sequence[str], key: str = KEY, score: str = "trend_score"
 ) -> DataFrame:
-    """One column per indicator by a partial aggregate; rows without a key stay apart, one group
-    per indicator."""
-    tag = F.col("indicator")
-    apart = F.when(F.col(key).isNull(), tag).alias("_apart")
-    return (
-        stacked.groupBy(key, apart)
-        .agg(*[F.max(F.when(tag == n, F.col(score))).alias(n) for n in names])
-        .drop("_apart")
-    )
+    """One column per indicator by a partial aggregate; keys must be unique within an indicator.
+
+    A repeated key raises, as no single row could hold its scores (the join chain can). Rows
+    without a key match nothing and each stays a row of its own.
+    """
+    tag, value = F.col("indicator"), F.col(score)
+
+    def only(name: str) -> Column:
+        repeated = F.raise_error(F.lit(f"a {key} has more than one {name}")).cast("double")
+        return F.when(F.count_if(tag == name) > 1, repeated).otherwise(F.max(F.when(tag == name, value)))
+
+    keyed = stacked.where(F.col(key).isNotNull()).groupBy(key).agg(*[only(n).alias(n) for n in names])
+    apart = stacked.where(F.col(key).isNull())
+    return keyed.unionByName(apart.select(key, *[F.when(tag == n, value).alias(n) for n in names]))
 
 
 def fuse_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "trend_score") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placetrend.functions.numeric import growth_rate
+from placetrend.functions.numeric import growth_rate, ratio
 
 KEY, YEAR, VALUE = "locality", "year", "value"
 
@@ -143,6 +143,5 @@ def interpolate_gaps(
         }
     )
     lo, hi = F.col("_lo"), F.col("_hi")
-    gap = F.nullif(hi["_at"] - lo["_at"], F.lit(0))
-    line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_at") - lo["_at"]) / gap
+    line = lo["v"] + ratio((hi["v"] - lo["v"]) * (F.col("_at") - lo["_at"]), hi["_at"] - lo["_at"])
     return framed.withColumn(value, F.coalesce(number, line)).drop("_at", "_lo", "_hi")

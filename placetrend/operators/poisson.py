@@ -53,9 +53,9 @@ def _newton_step(points: Column, fit: Column) -> Column:
         )
 
     def solve(s: Column) -> Column:
-        det = F.nullif(s["s0"] * s["s2"] - s["s1"] * s["s1"], F.lit(0.0))
-        d0 = _clamp((s["s2"] * s["g0"] - s["s1"] * s["g1"]) / det)
-        d1 = _clamp((s["s0"] * s["g1"] - s["s1"] * s["g0"]) / det)
+        det = s["s0"] * s["s2"] - s["s1"] * s["s1"]
+        d0 = _clamp(ratio(s["s2"] * s["g0"] - s["s1"] * s["g1"], det))
+        d1 = _clamp(ratio(s["s0"] * s["g1"] - s["s1"] * s["g0"], det))
         return F.struct(
             (fit["b0"] + d0).alias("b0"),
             (fit["b1"] + d1).alias("b1"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from placetrend.catalog import analogues
 from placetrend.operators import panel
-from placetrend.operators.poisson import poisson_trend
+from placetrend.operators.fuse import fuse_scores
+from placetrend.operators.poisson import poisson_trend, significant
 from placetrend.plans import third_sector
 from tests.helpers import plan_of
 from tests.oracle import compare, connect
@@ -40,21 +41,16 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def planned(spark, df) -> str:
-    """The plan before adaptive changes."""
-    return plan_of(df)
-
-
 @pytest.mark.parametrize("name", JOBS)
 def test_jobs_stay_in_the_jvm_and_never_cross_join(spark, name):
-    plan = planned(spark, QUERIES[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     for node in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan, node
 
 
 @pytest.mark.parametrize("name", ["zscore", "minmax_scale", "sign_preserving_scale", "bayes_shrinkage", "global_scalar_broadcast"])
 def test_global_statistics_move_only_partial_aggregates(spark, name):
-    plan = planned(spark, QUERIES[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     singles = re.findall(r"Exchange SinglePartition.*\n(.*)", plan)
     assert singles, "the statistic needs one final aggregate"
     assert all("HashAggregate(keys=[]" in below for below in singles), singles
@@ -70,11 +66,37 @@ def test_windows_of_a_series_share_one_shuffle(spark):
         F.col("id").alias("jobs"),
     )
     growth = third_sector.growth_panel(third_sector.filled_panel(rows, "jobs", 2001), "jobs")
-    assert exchanges(planned(spark, growth)) == 2  # the panel's own, then one on the locality
+    assert exchanges(plan_of(growth)) == 2  # the panel's own, then one on the locality
+
+
+def test_small_polygons_leave_the_points_where_they_are(spark):
+    plan = plan_of(QUERIES["point_in_polygon"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in plan and exchanges(plan) == 0
+
+
+def test_large_polygons_meet_salted_points_in_a_merge_join(spark):
+    plan = plan_of(QUERIES["point_in_polygon_shuffled"](spark, SF_DIR))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert re.search(r"Exchange hashpartitioning\(_px#\S+ _py#\S+ _salt#", plan)
+
+
+def test_a_filter_on_the_report_does_not_repeat_the_fit(spark):
+    rows = spark.range(30).select(
+        (F.col("id") % 3).cast("string").alias("locality"), (2011 + F.col("id") % 10).cast("int").alias("year"),
+        (F.col("id") * 7 % 11).alias("value"),
+    )
+    plan = significant(poisson_trend(rows))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("lambdafunction" in line for line in filters)
+
+
+def test_fusion_needs_one_shuffle_of_scores(spark):
+    tables = {n: spark.range(10).select(F.col("id").cast("string").alias("locality"), F.lit(1.0).alias("trend_score")) for n in "abc"}
+    assert exchanges(plan_of(fuse_scores(tables))) == 1
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = QUERIES["nonnegative_guard"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(QUERIES["nonnegative_guard"](spark, SF_DIR))
     assert "GreaterThanOrEqual(c_acctbal,0.0)" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
 
@@ -86,7 +108,7 @@ def test_a_hot_locality_is_combined_before_it_is_shuffled(spark):
         (2011 + F.col("id") % 7).cast("int").alias("year"),
         F.lit(1).cast("bigint").alias("value"),
     )
-    plan = planned(spark, panel.to_panel(rows))
+    plan = plan_of(panel.to_panel(rows))
     assert re.search(r"HashAggregate\(keys=\[locality.*partial_sum", plan)
     counted = panel.to_panel(rows)
     hot = counted.where(F.col("locality") == "hot").agg(F.count("*"), F.sum("value")).first()

@@ -387,6 +387,36 @@ def test_chain_and_one_shuffle_fusion_agree_also_on_null_keys(spark):
     assert chain.exceptAll(stacked).count() == 0 and stacked.exceptAll(chain).count() == 0
 
 
+def test_repeated_keys_are_not_lost_silently(spark):
+    tables = {"x": frame(spark, SCORE, [("a", 1.0), ("a", 2.0)]), "y": frame(spark, SCORE, [("a", 3.0)])}
+    with pytest.raises(PySparkException, match="more than one x"):
+        fuse.fuse_scores(tables).collect()
+    assert table(fuse.full_outer_chain(tables)) == [("a", 1.0, 3.0), ("a", 2.0, 3.0)]
+    keyless = {"x": frame(spark, SCORE, [(None, 1.0), (None, 2.0)]), "y": frame(spark, SCORE, [(None, 3.0)])}
+    want = [(None, 1.0, None), (None, 2.0, None), (None, None, 3.0)]
+    assert table(fuse.fuse_scores(keyless)) == table(fuse.full_outer_chain(keyless)) == want
+
+
+@SOME
+@given(
+    st.lists(
+        st.dictionaries(st.sampled_from("abcdef"), st.floats(-9, 9), max_size=6), min_size=2, max_size=3
+    )
+)
+def test_fusion_forms_agree(spark, drawn):
+    tables = {f"t{i}": frame(spark, SCORE, d.items()) for i, d in enumerate(drawn)}
+    names = list(tables)
+    assert table(fuse.full_outer_chain(tables), "locality", *names) == table(fuse.fuse_scores(tables), "locality", *names)
+
+
+@SOME
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6)), min_size=1, max_size=9))
+def test_minmax_stays_in_range(spark, values):
+    got = [r.s for r in scale.minmax(scores(spark, values), {"s": "trend_score"}, flat=0.0).collect()]
+    assert sum(v is None for v in got) == sum(v is None for v in values)
+    assert all(-1e-9 <= v <= 100 + 1e-9 for v in got if v is not None)
+
+
 def test_composite(spark):
     for write_first in (True, False):
         final = composite.composite_score(five_tables(spark), write_first=write_first)
