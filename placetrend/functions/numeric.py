@@ -20,9 +20,10 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Lenient cast: bad text and NaN both become NULL."""
+    """Lenient cast: bad text and NaN both become NULL; so does a number with a type letter,
+    which the engine's own cast would let through."""
     value = text.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value) & ~text.rlike(r"[0-9.][dDfF]\s*$"), value)
 
 
 def null_safe_sum(columns: Iterable[Column]) -> Column:

@@ -30,6 +30,8 @@ def full_outer_chain(scores: Mapping[str, DataFrame], key: str = KEY, score: str
 
 def stack_scores(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "trend_score") -> DataFrame:
     """Score tables -> (indicator, locality, trend_score), one below the other."""
+    if not scores:
+        raise ValueError("there is no score table")
     return reduce(
         DataFrame.unionByName,
         [

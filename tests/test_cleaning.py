@@ -51,8 +51,10 @@ def test_strict_and_lenient_casts(spark):
         frame(spark, "v string", [("junk",)]).select(text.sentinel_to_null(F.col("v"))).collect()
     with pytest.raises(PySparkException):
         frame(spark, "v string", [("Secteur quaternaire",)]).select(text.map_labels(F.col("v"))).collect()
-    df = frame(spark, "v string", [("abc",), ("NaN",), ("1.5",), (None,)])
-    assert [r[0] for r in df.select(numeric.to_number(F.col("v"))).collect()] == [None, None, 1.5, None]
+    texts = {"abc": None, "NaN": None, "1.5": 1.5, None: None, "1.5d": None, "2F": None, " 2 ": 2.0, "1e3": 1000.0, "": None}
+    df = frame(spark, "v string", [(t,) for t in texts])
+    got = [r[0] for r in df.select(numeric.to_number(F.col("v"))).collect()]
+    assert got == list(texts.values())
 
 
 def test_year_from_name(spark):

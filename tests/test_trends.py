@@ -440,6 +440,12 @@ def test_read_scores_skips_bad_files_and_cleans_numbers(spark, tmp_path):
     assert table(got["good"]) == [("Aa", 1.5), ("Bb", None), ("Cc", None), ("Dd", None)]
 
 
+def test_no_usable_score_table_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("nom_commune,trend_score\nAa,1\n")
+    with pytest.raises(ValueError, match="no score table"):
+        composite.normalised_scores(composite.read_scores(spark, {"bad": str(tmp_path / "bad.csv")}))
+
+
 def test_anti_join_null_keys(spark):
     df = frame(spark, SCORE, [("a", 1.0), ("b", 2.0), (None, 3.0)])
     keys = frame(spark, "locality string", [("a",), (None,)])
