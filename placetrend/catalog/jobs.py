@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from placetrend import fixed_values as fv
@@ -111,16 +114,20 @@ def third_sector_estab_score(spark, sf_dir):
 
 
 def five_scores(spark, sf_dir) -> dict[str, DataFrame]:
+    """The five indicators do not depend on each other, so their jobs are submitted side by side."""
     five = an.five_measures(spark, sf_dir)
-    return {
-        "third_sector_job_score": third_sector.third_sector_score(five, "jobs", last_year=an.LAST_YEAR),
-        "building_score": building.building_score(to_panel(an.customer_panel(spark, sf_dir))),
-        "demographie_score": demography.demography_score(five, snapshot_year=an.LAST_YEAR),
-        "restau_score": restaurants.restaurant_score(five, **SERIES),
-        "third_sector_establishment_score": third_sector.third_sector_score(
+    makers = {
+        "third_sector_job_score": lambda: third_sector.third_sector_score(five, "jobs", last_year=an.LAST_YEAR),
+        "building_score": lambda: building.building_score(to_panel(an.customer_panel(spark, sf_dir))),
+        "demographie_score": lambda: demography.demography_score(five, snapshot_year=an.LAST_YEAR),
+        "restau_score": lambda: restaurants.restaurant_score(five, **SERIES),
+        "third_sector_establishment_score": lambda: third_sector.third_sector_score(
             five, "establishments", last_year=an.LAST_YEAR
         ),
     }
+    run = inheritable_thread_target(spark)(lambda make: make())
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return dict(zip(makers, pool.map(run, makers.values())))
 
 
 SOURCES = {
