@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from placetrend.llm.pieces import encode_texts
+from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
 from placetrend.llm.simhash import simhash_groups
+from placetrend.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +30,19 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules(docs, train(docs, read(spark, sf_dir, "labels")))
