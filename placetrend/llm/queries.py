@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from placetrend.llm.chunks import chunk_dedup
 from placetrend.llm.pieces import encode_texts
 from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
 from placetrend.llm.simhash import simhash_groups
+from placetrend.llm.suffixes import suffix_dedup
 from placetrend.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +48,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op10_chunk_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"))
