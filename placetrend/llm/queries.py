@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placetrend.llm.chunks import chunk_dedup
+from placetrend.llm.html_text import extract_text
 from placetrend.llm.pieces import encode_texts
 from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
@@ -58,3 +59,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
