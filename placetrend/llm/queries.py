@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placetrend.llm.chunks import chunk_dedup
 from placetrend.llm.html_text import extract_text
+from placetrend.llm.mixing import mix_draws
 from placetrend.llm.pieces import encode_texts
 from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
@@ -64,3 +66,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mix_draws(read(spark, sf_dir, "documents"))
+    taken = (F.col("size") * F.size("draws")).alias("taken")
+    return drawn.select("doc_id", "size", "source_size", "target", taken)
