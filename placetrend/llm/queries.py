@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from placetrend.llm.chunks import chunk_dedup
 from placetrend.llm.html_text import extract_text
+from placetrend.llm.licenses import license_scan
 from placetrend.llm.mixing import mix_draws
 from placetrend.llm.pieces import encode_texts
 from placetrend.llm.quality import quality_rules, train
@@ -73,3 +74,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix_draws(read(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.size("draws")).alias("taken")
     return drawn.select("doc_id", "size", "source_size", "target", taken)
+
+
+@query("op5_licenses")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
