@@ -18,7 +18,8 @@ TEMPLATES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "The MIT License"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
