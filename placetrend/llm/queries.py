@@ -12,6 +12,7 @@ from placetrend.llm.chunks import chunk_dedup
 from placetrend.llm.html_text import extract_text
 from placetrend.llm.licenses import license_scan
 from placetrend.llm.mixing import mix_draws
+from placetrend.llm.neighbours import nearest_neighbours
 from placetrend.llm.pieces import encode_texts
 from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
@@ -80,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+
+
+@query("op9_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
