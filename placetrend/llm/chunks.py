@@ -142,14 +142,16 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return materialise(met.where(~kept).select("k1", "k2", "start", "end"), "repeated-spans")
 
 
-def chunk_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def chunk_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_run: int = MIN_RUN, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``text``.
 
     ``text`` lacks each run of ``min_run`` or more bytes of chunks that occur before: further up in
     the text, or in the document of the smallest id that has them, which keeps them. Chunk ends
     depend on the bytes around them alone, so they fall alike in all copies of a passage, wherever it
     stands. Whole texts are read. A null text counts as empty; null ids come after all others, and
-    rows of one id count as one document. Other columns are not read.
+    rows of one id count as one document. Of other columns, only those of ``carry`` are read.
     """
     spans = repeated_spans(docs, id_column, text_column)
 
@@ -158,4 +160,4 @@ def chunk_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         return [[len(t) for t in texts], [sum(b - a for a, b in s) for s in found], [len(s) for s in found], left]
 
     schema = "n_bytes bigint, n_removed bigint, n_spans bigint, text string"
-    return cut_spans(docs, spans, id_column, text_column, schema, describe, row_key, min_run)
+    return cut_spans(docs, spans, id_column, text_column, schema, describe, row_key, min_run, carry)

@@ -323,6 +323,25 @@ def quality_rules(
     return scored.select("doc_id", *counts, failed.alias("base_failed"), "probability", (~failed & verdict).alias("kept"))
 
 
+def keep_good(docs: DataFrame, classifier: Classifier | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps."""
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        for batch in batches:
+            verdict = np.zeros(batch.num_rows, bool)
+            for a, block in _with_start(blocks(as_bytes(batch.column(at)))):
+                found = features(block)
+                words, repeated = found.base[:, 0], found.base[:, 4]
+                good = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PCT * words)
+                if classifier:
+                    good &= classifier.probabilities(found) >= threshold
+                verdict[a : a + len(block)] = good
+            yield batch.filter(pa.array(verdict))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _with_start(groups: Iterator[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     for group in groups:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placetrend.llm.components import components
 from placetrend.llm.shared import as_bytes, pieces_of
@@ -100,6 +101,49 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGM
     )
 
 
+def _rooted(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, least, root`` for every fingerprint of ``rows(doc_id, fp)``: its smallest id, its group."""
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(near_links(nodes.select("fp"), max_bits), "near-links")
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialise(rooted, "near-roots")
+
+
+def one_per_group(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group.
+
+    The row of the smallest id stays; of several rows of that id the one whose text has the least
+    hash. A group without any id keeps the row of the smallest fingerprint.
+    """
+    rows = materialise(fingerprints(docs, id_column, text_column, width), "fingerprints")
+    rooted = _rooted(rows, max_bits)
+    groups = rooted.groupBy("root").agg(F.min("least").alias("_stay"), F.min("fp").alias("_stay_fp"))
+    known = materialise(groups, "near-groups")
+    own = F.col(f"`{id_column}`")
+    first = Window.partitionBy("_stay").orderBy(F.xxhash64(F.col(f"`{text_column}`")))
+    stays = known.where("_stay is not null").select("_stay")
+    named = docs.join(stays, own == F.col("_stay")).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+
+    def add_print(batches):
+        for batch in batches:
+            prints = np.array([fingerprint(t, width) for t in as_bytes(batch.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
+
+    names, at = [*docs.columns, "_stay_fp"], docs.columns.index(text_column)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_stay_fp", T.LongType())])
+    nameless = docs.where(own.isNull()).mapInArrow(add_print, schema).join(known.where("_stay is null").select("_stay_fp"), "_stay_fp")
+    any_one = Window.partitionBy("_stay_fp").orderBy(F.xxhash64(F.col(f"`{text_column}`")))
+    nameless = nameless.withColumn("_nth", F.row_number().over(any_one)).where("_nth = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).union(nameless.select(*columns))
+
+
 def simhash_groups(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -116,10 +160,7 @@ def simhash_groups(
     give repeated rows. Other columns are not read.
     """
     rows = materialise(fingerprints(docs, id_column, text_column, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes.select("fp"), max_bits), "near-links")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "near-roots")
+    rooted = _rooted(rows, max_bits)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

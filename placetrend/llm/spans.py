@@ -45,19 +45,22 @@ def cut_spans(
     describe: Callable[[list[bytes], list[Spans]], list[list]],
     keys: Callable[[list, list[bytes]], np.ndarray] = text_key,
     least: int = 1,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id`` and what ``describe`` says of every row's text and its merged spans.
 
     ``spans(k1, k2, start, end)`` may overlap and repeat; touching ones are merged, and merged spans
     below ``least`` bytes are left in. Rows without spans are described where they are; the others
     are shuffled by key, with all spans of their text, which has no more of them than bytes.
-    ``describe`` returns one list per field of ``schema``.
+    ``describe`` returns one list per field of ``schema``. The columns of ``carry`` come along behind.
     """
     bitmap = gather_bits(spans, "k1", FILTER_BITS)
     by_text = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema[id_column].dataType.simpleString()
     fields = [f.split() for f in schema.split(",")]
     names, kinds = ["doc_id", *(f[0] for f in fields)], [_ARROW[f[1]] for f in fields]
+    along = [f"along{k}" for k in range(len(carry))]
+    carried = "".join(f", {a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(along, carry, strict=True))
 
     def arrays(texts: list[bytes], found: list[Spans]) -> list[pa.Array]:
         return [pa.array(c, k) for c, k in zip(describe(texts, found), kinds, strict=True)]
@@ -75,19 +78,24 @@ def cut_spans(
                     columns = [*(pa.nulls(n, k) for k in kinds), *own]
                 else:
                     columns = [*arrays(chosen, [[]] * n), *(pa.nulls(n, c.type) for c in own)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], [*names, "k1", "k2", "raw"])
+                kept = [batch.column(k).take(pa.array(at)) for k in (0, *range(2, 2 + len(along)))]
+                yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[1:]], [*names, "k1", "k2", "raw", *along])
 
     def cut(batches):
         for batch in batches:
             found = [merged([(s["start"], s["end"]) for s in x or []]) for x in batch.column(2).to_pylist()]
             found = [[s for s in x if s[1] - s[0] >= least] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(as_bytes(batch.column(1)), found)], names)
+            kept = batch.columns[3:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(as_bytes(batch.column(1)), found), *kept], [*names, *along])
 
     out = f"doc_id {kind}, {schema}"
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    rows = texts.mapInArrow(split, f"{out}, k1 bigint, k2 bigint, raw binary")
-    moved = rows.where("raw is not null").select("doc_id", "k1", "k2", "raw").join(by_text, ["k1", "k2"], "left")
-    return rows.where("raw is null").select(*names).union(moved.select("doc_id", "raw", "spans").mapInArrow(cut, out))
+    extra = [F.col(f"`{c}`").alias(a) for a, c in zip(along, carry, strict=True)]
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *extra)
+    rows = texts.mapInArrow(split, f"{out}, k1 bigint, k2 bigint, raw binary{carried}")
+    moved = rows.where("raw is not null").select("doc_id", "k1", "k2", "raw", *along).join(by_text, ["k1", "k2"], "left")
+    cut_rows = moved.select("doc_id", "raw", "spans", *along).mapInArrow(cut, out + carried)
+    found = rows.where("raw is null").select(*names, *along).union(cut_rows)
+    return found.select(*names, *(F.col(a).alias(c) for a, c in zip(along, carry, strict=True)))
 
 
 DIGEST = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
