@@ -149,23 +149,62 @@ class Nodes:
         return [_join(_join(a, b, lane), extent, lane).view(np.int64) for a, b, lane in pairs]
 
 
-def _rows(docs: DataFrame, text_column: str, schema: str, rows) -> DataFrame:
+def _rows(texts: DataFrame, schema: str, rows) -> DataFrame:
     """Rows that ``rows(texts, parts)`` makes of each group of parts, as arrays of ``schema``."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for parts in _parts(texts, WIDTH):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows(texts, parts)], names)
+            found = as_bytes(batch.column(0))
+            for parts in _parts(found, WIDTH):
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows(found, parts)], names)
 
-    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _repeated(names: DataFrame, *columns: str) -> DataFrame:
     return names.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(*columns)
 
 
+def _keyed(texts: DataFrame, bitmap: np.ndarray | None, wanted: bool) -> DataFrame:
+    """``raw, k1, k2, size`` of texts of ``WIDTH`` bytes or more whose key is in the bitmap, or is not;
+    without a bitmap, keys and sizes alone."""
+
+    def run(batches):
+        for batch in batches:
+            found = [t for t in as_bytes(batch.column(0)) if len(t) >= WIDTH]
+            key = text_key([], found)
+            if bitmap is not None:
+                at = np.flatnonzero(in_bitmap(bitmap, key[:, 0].copy()) == wanted)
+                key, found = key[at], [found[k] for k in at]
+            raw = pa.array(found, pa.binary()) if bitmap is not None else pa.nulls(len(found), pa.binary())
+            sizes = pa.array([len(t) for t in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([raw, pa.array(key[:, 0]), pa.array(key[:, 1]), sizes], ["raw", "k1", "k2", "size"])
+
+    return texts.mapInArrow(run, "raw binary, k1 bigint, k2 bigint, size bigint")
+
+
+def _within(bitmap: np.ndarray, column: str, table: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in the bitmap."""
+    at = table.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap, batch.column(at).to_numpy())))
+
+    return table.mapInArrow(run, table.schema)
+
+
+def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each text of ``WIDTH`` bytes or more once, and ``(k1, k2, start, end)`` of all of those that
+    occur twice, all of whose windows repeat. Only texts that occur twice are shuffled."""
+    counted = _keyed(texts, None, True).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("size").alias("end"))
+    copied = materialise(counted.where("n > 1").select("k1", "k2", F.lit(0).cast("bigint").alias("start"), "end"), "suffix-copied")
+    bitmap = gather_bits(copied, "k1", FILTER_BITS)
+    one = _keyed(texts, bitmap, True).groupBy("k1", "k2").agg(F.first("raw").alias("raw")).select("raw")
+    return _keyed(texts, bitmap, False).select("raw").union(materialise(one, "suffix-copies")), copied
+
+
 def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``(k1, k2, start, end)``: strings of ``WIDTH`` bytes or more, all of whose windows repeat.
 
@@ -173,9 +212,10 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     of very many texts gathers in no task. A lost executor costs no finished step: each is written.
     """
     reach = NODE - 1
-    anchors = _rows(docs, text_column, "a bigint", lambda t, p: [Nodes(p, WIDTH).anchor_names])
+    texts, copied = distinct_texts(docs.select(F.col(text_column).alias("text")))
+    anchors = _rows(texts, "a bigint", lambda t, p: [Nodes(p, WIDTH).anchor_names])
     a_bits = gather_bits(_repeated(anchors, "a"), "a", FILTER_BITS)
-    shared = _rows(docs, text_column, "w1 bigint, w2 bigint", lambda t, p: Nodes(p, WIDTH, a_bits).shared_names())
+    shared = _rows(texts, "w1 bigint, w2 bigint", lambda t, p: Nodes(p, WIDTH, a_bits).shared_names())
     w_bits = gather_bits(_repeated(shared, "w1", "w2"), "w1", FILTER_BITS)
 
     def describe(texts, parts):
@@ -198,16 +238,18 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "w1 bigint, w2 bigint, v1 bigint, v2 bigint, low bigint, high bigint, "
         "left binary, right binary, k1 bigint, k2 bigint, start bigint"
     )
-    nodes = materialise(_rows(docs, text_column, schema, describe), "suffix-nodes")
+    nodes = materialise(_rows(texts, schema, describe), "suffix-nodes")
     kinds = materialise(nodes.groupBy("w1", "w2", "v1", "v2").agg(F.count("*").alias("n")), "suffix-kinds")
     certain = nodes.join(kinds.where("n > 1").select("v1", "v2"), ["v1", "v2"]).select(
         "k1", "k2", "start", (F.col("start") + F.col("high") - F.col("low") + WIDTH).alias("end")
     )
     # a node that is alone, beside others that share its string: compare window by window
     mixed = kinds.groupBy("w1", "w2").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    mixed = materialise(mixed.select("w1", "w2"), "suffix-mixed")
     fields = ("low", "high", "left", "right", "k1", "k2", "start")
     each = (
-        nodes.join(mixed.select("w1", "w2"), ["w1", "w2"])
+        _within(gather_bits(mixed, "w1", FILTER_BITS), "w1", nodes)
+        .join(mixed, ["w1", "w2"])
         .groupBy("w1", "w2", "v1", "v2")
         .agg(F.count("*").alias("n"), *(F.first(f).alias(f) for f in fields))
         .withColumn("i", F.explode(F.sequence("low", "high")))
@@ -221,7 +263,7 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     same = ["w1", "w2", "i", "beside"]
     found = each.groupBy(*same).agg(F.sum("n").alias("total")).where("total > 1").select(*same)
     single = each.where("n = 1").join(found, same).select("k1", "k2", "start", (F.col("start") + WIDTH).alias("end"))
-    return materialise(certain.union(single), "suffix-spans")
+    return materialise(certain.union(single).union(copied), "suffix-spans")
 
 
 def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
