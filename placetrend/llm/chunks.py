@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrend.llm.shared import BLOCK, as_bytes, blocks, gather_bits, in_bitmap, without
+from placetrend.llm.shared import BLOCK, as_bytes, blocks, gather_bits, in_bitmap, small, without
 from placetrend.llm.spans import FILTER_BITS, cut_spans, longs, row_key
 from placetrend.storage import materialise
 
@@ -107,7 +107,7 @@ def chunk_occurrences(docs: DataFrame, id_column: str, text_column: str, bitmap:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             at = 0
             for texts in blocks(as_bytes(batch.column(1))):
                 yield rows(batch.column(0).slice(at, len(texts)), texts)

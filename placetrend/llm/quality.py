@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrend.llm.shared import as_bytes, blocks, pieces_of
+from placetrend.llm.shared import as_bytes, blocks, pieces_of, small
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -249,7 +249,7 @@ def labelled_sample(
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in as_bytes(batch.column(2)):
                 found = [np.unique(b, return_counts=True) for b, _, _ in features([text]).families]
@@ -305,7 +305,7 @@ def quality_rules(
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for a, block in _with_start(blocks(as_bytes(batch.column(1)))):
                 found = features(block)
                 chance = pa.array(classifier.probabilities(found)) if classifier else pa.nulls(len(block), pa.float64())
@@ -328,7 +328,7 @@ def keep_good(docs: DataFrame, classifier: Classifier | None, text_column: str =
     at = docs.columns.index(text_column)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             verdict = np.zeros(batch.num_rows, bool)
             for a, block in _with_start(blocks(as_bytes(batch.column(at)))):
                 found = features(block)

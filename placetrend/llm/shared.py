@@ -27,6 +27,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds copies of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces_of(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
     """``data`` cut at white space into parts of about ``size`` bytes; no word is cut."""
     at = 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placetrend.llm.components import components
-from placetrend.llm.shared import as_bytes, pieces_of
+from placetrend.llm.shared import as_bytes, pieces_of, small
 from placetrend.storage import materialise
 
 SHINGLE_WORDS = 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``(doc_id, fp)``, one row per row of ``docs``; ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             prints = np.array([fingerprint(t, width) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
@@ -131,7 +131,7 @@ def one_per_group(
     named = docs.join(stays, own == F.col("_stay")).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
 
     def add_print(batches):
-        for batch in batches:
+        for batch in small(batches):
             prints = np.array([fingerprint(t, width) for t in as_bytes(batch.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrend.llm.shared import as_bytes, gather_bits, in_bitmap, merged, without
+from placetrend.llm.shared import as_bytes, gather_bits, in_bitmap, merged, small, without
 
 #: Bits of the filters that keep rows without a match out of a shuffle. A filter only saves work: it
 #: loses no row, and where the data outgrow it more rows are shuffled.
@@ -66,7 +66,7 @@ def cut_spans(
         return [pa.array(c, k) for c, k in zip(describe(texts, found), kinds, strict=True)]
 
     def split(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column(1))
             key = keys(batch.column(0).to_pylist(), texts)
             met = in_bitmap(bitmap, key[:, 0].copy())
@@ -82,7 +82,7 @@ def cut_spans(
                 yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[1:]], [*names, "k1", "k2", "raw", *along])
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [merged([(s["start"], s["end"]) for s in x or []]) for x in batch.column(2).to_pylist()]
             found = [[s for s in x if s[1] - s[0] >= least] for x in found]
             kept = batch.columns[3:]

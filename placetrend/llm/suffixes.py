@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrend.llm.shared import BLOCK, as_bytes, gather_bits, in_bitmap
+from placetrend.llm.shared import as_bytes, gather_bits, in_bitmap, small
 from placetrend.llm.spans import DIGEST, FILTER_BITS, cut_spans, digest_of, text_key
 from placetrend.storage import materialise
 
@@ -39,6 +39,8 @@ NODE = 16
 _LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE_BITS = np.uint64(22)
+#: Bytes whose buckets are refined at once: a few arrays of eight bytes for each.
+PART = 1 << 18
 
 
 def _join(a: np.ndarray, b: np.ndarray, lane: np.uint64) -> np.ndarray:
@@ -102,9 +104,9 @@ def _parts(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, byte
     that each of its windows is in one of them."""
     held, total = [], 0
     for k, text in enumerate(texts):
-        for at in range(0, max(len(text) - width + 1, 0), BLOCK):
-            part = text[at : at + BLOCK + width - 1]
-            if held and total + len(part) > BLOCK:
+        for at in range(0, max(len(text) - width + 1, 0), PART):
+            part = text[at : at + PART + width - 1]
+            if held and total + len(part) > PART:
                 yield held
                 held, total = [], 0
             held.append((k, at, part))
@@ -154,7 +156,7 @@ def _rows(texts: DataFrame, schema: str, rows) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = as_bytes(batch.column(0))
             for parts in _parts(found, WIDTH):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows(found, parts)], names)
@@ -171,7 +173,7 @@ def _keyed(texts: DataFrame, bitmap: np.ndarray | None, wanted: bool) -> DataFra
     without a bitmap, keys and sizes alone."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [t for t in as_bytes(batch.column(0)) if len(t) >= WIDTH]
             key = text_key([], found)
             if bitmap is not None:
@@ -189,7 +191,7 @@ def _within(bitmap: np.ndarray, column: str, table: DataFrame) -> DataFrame:
     at = table.columns.index(column)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(in_bitmap(bitmap, batch.column(at).to_numpy())))
 
     return table.mapInArrow(run, table.schema)
