@@ -21,6 +21,7 @@ Every step counts over all texts, and the filters between them lose nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -151,33 +152,48 @@ class Nodes:
         return [_join(_join(a, b, lane), extent, lane).view(np.int64) for a, b, lane in pairs]
 
 
-def _rows(texts: DataFrame, schema: str, rows) -> DataFrame:
-    """Rows that ``rows(texts, parts)`` makes of each group of parts, as arrays of ``schema``."""
-    names = [f.split()[0] for f in schema.split(", ")]
+@dataclass
+class Texts:
+    """Each text of ``WIDTH`` bytes or more once: those of ``every`` whose key is not in the bitmap of
+    texts that occur twice, and ``copies`` for the others."""
 
-    def run(batches):
-        for batch in small(batches):
-            found = as_bytes(batch.column(0))
-            for parts in _parts(found, WIDTH):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows(found, parts)], names)
+    every: DataFrame
+    copies: DataFrame
+    bitmap: np.ndarray
+
+    def rows(self, schema: str, rows) -> DataFrame:
+        """What ``rows(texts, parts)`` makes of each group of parts, as arrays of ``schema``."""
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def run(bitmap):
+            def each(batches):
+                for batch in small(batches):
+                    found = [t for t in as_bytes(batch.column(0)) if len(t) >= WIDTH]
+                    if bitmap is not None and found:
+                        met = in_bitmap(bitmap, text_key([], found)[:, 0].copy())
+                        found = [t for t, skip in zip(found, met, strict=True) if not skip]
+                    for parts in _parts(found, WIDTH):
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows(found, parts)], names)
+
+            return each
 
-    return texts.mapInArrow(run, schema)
+        return self.every.mapInArrow(run(self.bitmap), schema).union(self.copies.mapInArrow(run(None), schema))
 
 
 def _repeated(names: DataFrame, *columns: str) -> DataFrame:
     return names.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(*columns)
 
 
-def _keyed(texts: DataFrame, bitmap: np.ndarray | None, wanted: bool) -> DataFrame:
-    """``raw, k1, k2, size`` of texts of ``WIDTH`` bytes or more whose key is in the bitmap, or is not;
-    without a bitmap, keys and sizes alone."""
+def _keyed(texts: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``raw, k1, k2, size`` of texts of ``WIDTH`` bytes or more whose key is in the bitmap; without
+    a bitmap, keys and sizes of all."""
 
     def run(batches):
         for batch in small(batches):
             found = [t for t in as_bytes(batch.column(0)) if len(t) >= WIDTH]
             key = text_key([], found)
             if bitmap is not None:
-                at = np.flatnonzero(in_bitmap(bitmap, key[:, 0].copy()) == wanted)
+                at = np.flatnonzero(in_bitmap(bitmap, key[:, 0].copy()))
                 key, found = key[at], [found[k] for k in at]
             raw = pa.array(found, pa.binary()) if bitmap is not None else pa.nulls(len(found), pa.binary())
             sizes = pa.array([len(t) for t in found], pa.int64())
@@ -197,14 +213,14 @@ def _within(bitmap: np.ndarray, column: str, table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
-def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each text of ``WIDTH`` bytes or more once, and ``(k1, k2, start, end)`` of all of those that
-    occur twice, all of whose windows repeat. Only texts that occur twice are shuffled."""
-    counted = _keyed(texts, None, True).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("size").alias("end"))
+def distinct_texts(texts: DataFrame) -> tuple[Texts, DataFrame]:
+    """The texts once each, and ``(k1, k2, start, end)`` of those that occur twice, all of whose
+    windows repeat. Only texts that occur twice are shuffled."""
+    counted = _keyed(texts).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("size").alias("end"))
     copied = materialise(counted.where("n > 1").select("k1", "k2", F.lit(0).cast("bigint").alias("start"), "end"), "suffix-copied")
     bitmap = gather_bits(copied, "k1", FILTER_BITS)
-    one = _keyed(texts, bitmap, True).groupBy("k1", "k2").agg(F.first("raw").alias("raw")).select("raw")
-    return _keyed(texts, bitmap, False).select("raw").union(materialise(one, "suffix-copies")), copied
+    one = _keyed(texts, bitmap).groupBy("k1", "k2").agg(F.first("raw").alias("raw")).select("raw")
+    return Texts(texts, materialise(one, "suffix-copies"), bitmap), copied
 
 
 def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -215,9 +231,9 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     reach = NODE - 1
     texts, copied = distinct_texts(docs.select(F.col(text_column).alias("text")))
-    anchors = _rows(texts, "a bigint", lambda t, p: [Nodes(p, WIDTH).anchor_names])
+    anchors = texts.rows("a bigint", lambda t, p: [Nodes(p, WIDTH).anchor_names])
     a_bits = gather_bits(_repeated(anchors, "a"), "a", FILTER_BITS)
-    shared = _rows(texts, "w1 bigint, w2 bigint", lambda t, p: Nodes(p, WIDTH, a_bits).shared_names())
+    shared = texts.rows("w1 bigint, w2 bigint", lambda t, p: Nodes(p, WIDTH, a_bits).shared_names())
     w_bits = gather_bits(_repeated(shared, "w1", "w2"), "w1", FILTER_BITS)
 
     def describe(texts, parts):
@@ -240,7 +256,7 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "w1 bigint, w2 bigint, v1 bigint, v2 bigint, low bigint, high bigint, "
         "left binary, right binary, k1 bigint, k2 bigint, start bigint"
     )
-    nodes = materialise(_rows(texts, schema, describe), "suffix-nodes")
+    nodes = materialise(texts.rows(schema, describe), "suffix-nodes")
     kinds = materialise(nodes.groupBy("w1", "w2", "v1", "v2").agg(F.count("*").alias("n")), "suffix-kinds")
     certain = nodes.join(kinds.where("n > 1").select("v1", "v2"), ["v1", "v2"]).select(
         "k1", "k2", "start", (F.col("start") + F.col("high") - F.col("low") + WIDTH).alias("end")
