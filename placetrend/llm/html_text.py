@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placetrend.llm.shared import small
+
 #: Spread of the Gaussian, in lines, and the share of the ratios' deviation that makes the threshold.
 SIGMA = 1.0
 THRESHOLD = 0.5
@@ -185,7 +187,7 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(h) if h else "" for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placetrend.llm.shared import small
+
 MARK = "▁"
 #: Marks, then other characters: no piece but a run of marks has a mark behind its first character.
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Stretches, and pairs of pieces, whose answer a worker keeps; beyond, they are worked out anew.
-KEPT_STRETCHES = 1 << 20
-KEPT_PAIRS = 1 << 21
+KEPT_STRETCHES = 1 << 19
+KEPT_PAIRS = 1 << 20
 
 
 class PieceModel:
@@ -193,7 +195,7 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         model = model_for(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _batches_of(texts):
                 coded = [model.encode(t) for t in texts[a:b]]
@@ -219,7 +221,7 @@ def decode_ids(coded: DataFrame, path: str, id_column: str = "doc_id", ids_colum
 
     def run(batches):
         model = model_for(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if x is None else model.decode([k for k in x if k is not None]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

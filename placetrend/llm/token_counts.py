@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrend.llm.shared import blocks
+from placetrend.llm.shared import blocks, small
 
 #: Fixed value: the pattern by which byte-level BPE tokenizers of this kind cut pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,8 +69,11 @@ class PieceCounter:
         return found
 
     def pieces(self, pre_tokens: list[str]) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)
-        return np.fromiter((len(e) for e in encoded), np.int64, len(pre_tokens))
+        sizes = np.empty(len(pre_tokens), np.int64)
+        for at in range(0, len(pre_tokens), 10_000):
+            encoded = self.tokenizer.encode_batch_fast(pre_tokens[at : at + 10_000], add_special_tokens=False)
+            sizes[at : at + 10_000] = [len(e) for e in encoded]
+        return sizes
 
 
 @functools.cache
@@ -110,7 +113,7 @@ def token_counts(
 
     def run(batches):
         counter = counter_for(path)
-        for batch in batches:
+        for batch in small(batches, 4096):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             encoded = [t.encode() for t in texts]
             sizes = np.fromiter(map(len, encoded), np.int64, len(texts))
