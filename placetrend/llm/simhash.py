@@ -87,7 +87,9 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGM
         raise ValueError("balls of radius one meet for a distance of 0, 1 or 2 bits")
     flips = [mask for ball in _balls(segments) for mask in ball]
     moved = F.explode(F.array(*[F.lit(m).cast("bigint") for m in [0, *flips]]))
-    entries = prints.select("fp", moved.alias("mask")).select(F.expr("fp ^ mask").alias("key"), "mask")
+    # each row becomes 65: a table that looks small is not to end up in a few tasks
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = spread.select("fp", moved.alias("mask")).select(F.expr("fp ^ mask").alias("key"), "mask")
     table = entries.groupBy("key").agg(F.bit_or("mask").alias("bits"), F.max(F.col("mask") == 0).alias("centre"))
     matches = table.where(F.bit_count("bits") + F.col("centre").cast("int") >= 2)
     every = F.array(*[F.lit(m).cast("bigint") for m in flips])
