@@ -16,8 +16,10 @@ from placetrend.llm.shared import small
 MARK = "▁"
 #: Marks, then other characters: no piece but a run of marks has a mark behind its first character.
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Stretches, and pairs of pieces, whose answer a worker keeps; beyond, they are worked out anew.
+#: Short stretches, in each of two generations, whose ids a worker keeps; those not met again while a
+#: generation fills are worked out anew.
 KEPT_STRETCHES = 1 << 19
+#: Pairs of pieces whose answer a worker keeps.
 KEPT_PAIRS = 1 << 20
 
 
@@ -45,8 +47,14 @@ class PieceModel:
         inner = [p for p in self.ids if MARK in p[1:] and p.strip(MARK)]
         if inner or model.encode("a  b\n", out_type=str)[0][0] != MARK:
             raise ValueError("only models that split at white space and keep all of it are supported")
-        #: Every start of a piece, and whether it is a piece itself.
-        self.starts = {piece[:n]: False for piece in self.ids for n in range(1, len(piece))} | dict.fromkeys(self.ids, True)
+        #: A tree of the pieces' characters: what may follow, and the piece that ends here, if any.
+        self.tree: dict = {}
+        for piece in self.ids:
+            after = self.tree
+            for c in piece:
+                node = after.setdefault(c, [{}, None])
+                after = node[0]
+            node[1] = piece
         control = {k for k in range(size) if kinds[k][0]}
         raw = {k: b"" if k in control else self.names[k].replace(MARK, " ").encode() for k in range(size)}
         raw |= {k: bytes([b]) for b, k in self.byte_ids.items()} | {self.unknown: " ⁇ ".encode()}
@@ -54,6 +62,7 @@ class PieceModel:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.stretches: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The pieces that the merges leave of a short string: best score first, then leftmost."""
@@ -70,13 +79,8 @@ class PieceModel:
 
     def _stands(self, left: str, right: str) -> bool:
         """Whether the merges leave ``left`` and ``right`` as they are beside each other."""
-        if self.n_pairs >= KEPT_PAIRS:
-            self.pairs.clear()
-            self.n_pairs = 0
         self.n_pairs += 1
-        known = self._merged(left + right) == ([left, right] if left else [right])
-        self.pairs.setdefault(left, {})[right] = known
-        return known
+        return self._merged(left + right) == ([left, right] if left else [right])
 
     def _emit(self, piece: str, out: array) -> None:
         known = self.ids.get(piece)
@@ -95,32 +99,36 @@ class PieceModel:
         come through one boundary, the ids before it are committed and forgotten, so a stretch of any
         length needs a window of a few times ``longest``.
         """
-        starts, longest = self.starts, self.longest
-        base, last = 0, [""]  # last[k]: the survivor that ends at base + k
+        tree, longest, pairs = self.tree, self.longest, self.pairs
+        base, last = 0, [""] + [None] * len(text[: 9 * longest])  # last[k]: the survivor that ends at base + k
         for at in range(len(text)):
             if at - base > 8 * longest and (shared := self._meeting(last, at - base)):
                 for piece in self._path(last, shared):
                     self._emit(piece, out)
                 del last[:shared]
                 base += shared
-            left = last[at - base]
-            known = self.pairs.get(left) or {}
-            if len(last) <= at - base + longest:
-                last.extend([""] * longest)
-            for end in range(at + 1, min(at + longest, len(text)) + 1):
-                right = text[at:end]
-                whole = starts.get(right)
-                if whole is None and end > at + 1:
+            here = at - base
+            left = last[here]
+            known = pairs.get(left)
+            if known is None:
+                known = pairs[left] = {}
+            if len(last) <= here + longest:
+                last.extend([None] * longest)
+            after, end = tree, here
+            for c in text[at : at + longest]:
+                node = after.get(c)
+                if node is None:
                     break
-                if whole or end == at + 1:
+                end += 1
+                after, right = node
+                if right is not None:
                     stands = known.get(right)
                     if stands is None:
-                        stands = self._stands(left, right)
-                        known = self.pairs[left]
+                        stands = known[right] = self._stands(left, right)
                     if stands:
-                        last[end - base] = right
-                if whole is None:
-                    break
+                        last[end] = right
+            if last[here + 1] is None:  # no piece ends there: the character is unknown
+                last[here + 1] = text[at]
         for piece in self._path(last, len(text) - base):
             self._emit(piece, out)
 
@@ -148,16 +156,21 @@ class PieceModel:
         """Ids of ``text``, without begin and end; an empty text has none."""
         out = array("i")
         if text:
-            known = self.stretches
+            if len(self.stretches) >= KEPT_STRETCHES:
+                self.older, self.stretches = self.stretches, {}
+            if self.n_pairs >= KEPT_PAIRS:
+                self.pairs.clear()
+                self.n_pairs = 0
+            known, older = self.stretches, self.older
             for found in STRETCH.finditer(MARK + text.replace(" ", MARK)):
                 stretch = found[0]
                 ids = known.get(stretch)
                 if ids is None:
-                    ids = array("i")
-                    self._search(stretch, ids)
+                    ids = older.get(stretch)
+                    if ids is None:
+                        ids = array("i")
+                        self._search(stretch, ids)
                     if len(stretch) <= 64:
-                        if len(known) >= KEPT_STRETCHES:
-                            known.clear()
                         known[stretch] = ids
                 out.extend(ids)
         return out
