@@ -203,17 +203,15 @@ def _calibrated(scores: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
-def fit(rows: list[tuple[int, list[np.ndarray], list[np.ndarray]]], steps: int = 150) -> Classifier | None:
-    """The classifier of rows ``(good, buckets, shares)``, one array per family; every fifth row is
-    held out for calibration. None unless both classes are present in both parts."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 150) -> Classifier | None:
+    """The classifier of rows ``(good, buckets, shares)``, the buckets of all families numbered
+    through; every fifth row is held out for calibration. None unless both classes are in both parts."""
     good = np.array([r[0] for r in rows], float)
     held = np.arange(len(rows)) % 5 == 4
     if any(not 0 < good[part].sum() < part.sum() for part in (held, ~held)):
         return None
-    index = [np.concatenate([k * BUCKETS + b.astype(np.int64) for k, b in enumerate(r[1])]) for r in rows]
-    share = [np.concatenate(r[2]) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(i) for i in index])
-    index, share = np.concatenate(index), np.concatenate(share)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    index, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
     use = ~held[row]
     t_row, t_index, t_share = row[use], index[use], share[use]
     weights, bias = np.zeros(FAMILIES * BUCKETS), 0.0
@@ -234,7 +232,7 @@ def fit(rows: list[tuple[int, list[np.ndarray], list[np.ndarray]]], steps: int =
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int
-) -> list[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Features of up to ``sample`` labelled rows, chosen by a hash of their ids; ``sample`` bounds
     what is broadcast and what comes to the driver. Null labels and ids are left out; of several
     labels of one id the lowest counts, of several rows of one id one."""
@@ -253,26 +251,22 @@ def labelled_sample(
             out = []
             for text in as_bytes(batch.column(2)):
                 found = [np.unique(b, return_counts=True) for b, _, _ in features([text]).families]
-                out.append(([b.tolist() for b, _ in found], [(c / max(c.sum(), 1)).tolist() for _, c in found]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1),
-                    pa.array([o[0] for o in out], pa.list_(pa.list_(pa.int32()))),
-                    pa.array([o[1] for o in out], pa.list_(pa.list_(pa.float64()))),
-                ],
-                ["doc_id", "good", "buckets", "shares"],
-            )
+                index = np.concatenate([k * BUCKETS + b.astype(np.int32) for k, (b, _) in enumerate(found)])
+                share = np.concatenate([c / max(c.sum(), 1) for _, c in found])
+                out.append((index.astype("<i4").tobytes(), share.astype("<f4").tobytes()))
+            sparse = [pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sparse], ["doc_id", "good", "buckets", "shares"])
 
     kind = labels.schema[id_column].dataType.simpleString()
     found = (
         texts.join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "good", "text")
-        .mapInArrow(run, f"doc_id {kind}, good int, buckets array<array<int>>, shares array<array<double>>")
-        .collect()
+        .mapInArrow(run, f"doc_id {kind}, good int, buckets binary, shares binary")
+        .toArrow()
     )
-    rows = {}
-    for r in sorted(found, key=lambda r: (r.doc_id, r.buckets)):
-        rows.setdefault(r.doc_id, (r.good, [np.array(b, np.int64) for b in r.buckets], [np.array(s) for s in r.shares]))
+    rows: dict = {}
+    for r in sorted(zip(*(c.to_pylist() for c in found.columns), strict=True), key=lambda r: (r[0], r[2])):
+        rows.setdefault(r[0], (r[1], np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4")))
     return list(rows.values())
 
 
