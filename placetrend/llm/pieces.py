@@ -61,8 +61,8 @@ class PieceModel:
         self.raw = [raw[k] for k in range(size)]
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.stretches: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The pieces that the merges leave of a short string: best score first, then leftmost."""
@@ -168,11 +168,12 @@ class PieceModel:
                 if ids is None:
                     ids = older.get(stretch)
                     if ids is None:
-                        ids = array("i")
-                        self._search(stretch, ids)
+                        found_ids = array("i")
+                        self._search(stretch, found_ids)
+                        ids = found_ids.tobytes()
                     if len(stretch) <= 64:
                         known[stretch] = ids
-                out.extend(ids)
+                out.frombytes(ids)
         return out
 
     def decode(self, ids: array) -> str:
