@@ -91,13 +91,14 @@ def chunk_occurrences(docs: DataFrame, id_column: str, text_column: str, bitmap:
         owner, starts, flat, digests, again = [], [], [], [], []
         for k, (text, own) in enumerate(zip(texts, ends, strict=True)):
             seen: set[bytes] = set()
-            for a, b in zip([0, *own[:-1]], own, strict=True):
+            begins = [0, *own[:-1]] if own else []
+            for a, b in zip(begins, own, strict=True):
                 found = digest(text[a:b])
                 digests.append(found)
                 again.append(found in seen)
                 seen.add(found)
             owner += [k] * len(own)
-            starts += [0, *own[:-1]] if own else []
+            starts += begins
             flat += own
         found, key = longs(digests), row_key(ids.to_pylist(), texts)
         at = np.arange(len(flat)) if bitmap is None else np.flatnonzero(in_bitmap(bitmap, found[:, 0].copy()))

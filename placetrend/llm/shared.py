@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -105,5 +105,9 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placetrend.llm.components import components
-from placetrend.llm.shared import as_bytes, pieces_of, small
+from placetrend.llm.shared import as_bytes, fresh, pieces_of, small
 from placetrend.storage import materialise
 
 SHINGLE_WORDS = 3
@@ -120,30 +120,37 @@ def one_per_group(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group.
 
-    The row of the smallest id stays; of several rows of that id the one whose text has the least
-    hash. A group without any id keeps the row of the smallest fingerprint.
+    The row of the smallest id stays, rows without an id coming last; of several such rows the one of
+    the least fingerprint, then that whose text has the least hash.
     """
+    id_name, print_name, special, nth = (fresh(docs, n) for n in ("stay", "stay_print", "special", "nth"))
     rows = materialise(fingerprints(docs, id_column, text_column, width), "fingerprints")
     rooted = _rooted(rows, max_bits)
-    groups = rooted.groupBy("root").agg(F.min("least").alias("_stay"), F.min("fp").alias("_stay_fp"))
-    known = materialise(groups, "near-groups")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
+    kept = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(best.alias("best"))
+    # an id that is missing or on several rows does not tell which row stays
+    often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("often"))
+    often = materialise(often, "near-repeated-ids")
+    stays = kept.select(F.col("best.doc_id").alias(id_name), F.col("best.fp").alias(print_name))
+    stays = stays.join(often, F.col(id_name).eqNullSafe(F.col("often")), "left")
+    stays = materialise(stays.select(id_name, print_name, (F.col(id_name).isNull() | F.col("often").isNotNull()).alias(special)), "near-kept")
     own = F.col(f"`{id_column}`")
-    first = Window.partitionBy("_stay").orderBy(F.xxhash64(F.col(f"`{text_column}`")))
-    stays = known.where("_stay is not null").select("_stay")
-    named = docs.join(stays, own == F.col("_stay")).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    named = docs.join(stays.where(~F.col(special)), own == F.col(id_name))
 
     def add_print(batches):
         for batch in small(batches):
             prints = np.array([fingerprint(t, width) for t in as_bytes(batch.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names)
 
-    names, at = [*docs.columns, "_stay_fp"], docs.columns.index(text_column)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_stay_fp", T.LongType())])
-    nameless = docs.where(own.isNull()).mapInArrow(add_print, schema).join(known.where("_stay is null").select("_stay_fp"), "_stay_fp")
-    any_one = Window.partitionBy("_stay_fp").orderBy(F.xxhash64(F.col(f"`{text_column}`")))
-    nameless = nameless.withColumn("_nth", F.row_number().over(any_one)).where("_nth = 1")
+    names, at = [*docs.columns, print_name], docs.columns.index(text_column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_name, T.LongType())])
+    unclear = docs.join(often, own.eqNullSafe(F.col("often")), "left_semi").mapInArrow(add_print, schema)
+    wanted = stays.where(special).withColumnRenamed(print_name, nth)
+    met = unclear.join(wanted, (F.col(print_name) == F.col(nth)) & own.eqNullSafe(F.col(id_name))).drop(nth)
+    any_one = Window.partitionBy(id_name, print_name).orderBy(F.xxhash64(F.col(f"`{text_column}`")))
+    one = met.withColumn(nth, F.row_number().over(any_one)).where(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return named.select(*columns).union(nameless.select(*columns))
+    return named.select(*columns).union(one.select(*columns))
 
 
 def simhash_groups(
