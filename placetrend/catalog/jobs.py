@@ -12,7 +12,7 @@ from placetrend.catalog import analogues as an
 from placetrend.catalog import oracle_parts as op
 from placetrend.catalog.cleaning import EAST_SQL, NORTH_SQL
 from placetrend.catalog.registry import q6, query, rounded, with_ctes
-from placetrend.catalog.trends import POISSON_COLUMNS, POISSON_NUMBERS, POISSON_SQL, SERIES
+from placetrend.catalog.trends import POISSON_NUMBERS, POISSON_SQL, REPORT_COLUMNS, SERIES
 from placetrend.operators.panel import to_panel
 from placetrend.plans import building, composite, demography, restaurants, third_sector
 from placetrend.sources.nodes import amenity_nodes
@@ -76,7 +76,7 @@ def restaurant_counts_shuffled(spark, sf_dir):
     return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir), broadcast_bytes=0)
 
 
-@query("restaurant_trend", with_ctes(*POISSON_SQL) + f" SELECT {POISSON_COLUMNS} FROM p")
+@query("restaurant_trend", with_ctes(*POISSON_SQL) + f" SELECT {REPORT_COLUMNS} FROM p")
 def restaurant_trend(spark, sf_dir):
     return rounded(restaurants.restaurant_trend(an.part_panel(spark, sf_dir), **SERIES), *POISSON_NUMBERS)
 

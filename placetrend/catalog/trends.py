@@ -208,12 +208,13 @@ POISSON_SQL = (
     " (SELECT locality FROM part_panel GROUP BY 1 HAVING count(DISTINCT year) >= 3))",
     op.poisson("part_kept", "num_restaurants", "p"),
 )
-POISSON_COLUMNS = "locality, years_covered, n_obs, fit_status, " + ", ".join(f"{q6(c)} AS {c}" for c in POISSON_NUMBERS)
+REPORT_COLUMNS = "locality, years_covered, n_obs, " + ", ".join(f"{q6(c)} AS {c}" for c in POISSON_NUMBERS)
+POISSON_COLUMNS = f"fit_status, {REPORT_COLUMNS}"
 
 
 def _poisson(spark, sf_dir):
     counts = restaurant_panel(an.part_panel(spark, sf_dir), **SERIES)
-    return poisson.poisson_trend(counts, "num_restaurants", **SERIES)
+    return poisson.poisson_trend(counts, "num_restaurants")
 
 
 @query("poisson_trend", with_ctes(*POISSON_SQL) + f" SELECT {POISSON_COLUMNS} FROM p")
@@ -335,8 +336,9 @@ def row_profile(spark, sf_dir):
     "score_describe",
     with_ctes(*CUSTOMER_SLOPES_SQL)
     + f" SELECT count(slope) AS n, count(*) - count(slope) AS n_missing, {q6('avg(slope)')} AS mean,"
-    f" {q6('stddev_samp(slope)')} AS std, {q6('min(slope)')} AS min, {q6('max(slope)')} AS max FROM slopes",
+    f" {q6('stddev_samp(slope)')} AS std, {q6('min(slope)')} AS min, {q6('quantile_cont(slope, 0.25)')} AS q25,"
+    f" {q6('quantile_cont(slope, 0.5)')} AS q50, {q6('quantile_cont(slope, 0.75)')} AS q75, {q6('max(slope)')} AS max FROM slopes",
 )
 def score_describe(spark, sf_dir):
     described = profile.describe_score(_customer_slopes(spark, sf_dir), "slope")
-    return rounded(described.drop("q25", "q50", "q75"), "mean", "std", "min", "max")
+    return rounded(described, "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -19,6 +19,11 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top.cast("double") / bottom.cast("double"))
 
 
+def finite(value: Column) -> Column:
+    """The number, or NULL for NaN and infinities, which would spoil every extreme and mean."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
 def to_number(text: Column) -> Column:
     """Lenient cast: bad text and NaN both become NULL; so does a number with a type letter,
     which the engine's own cast would let through."""

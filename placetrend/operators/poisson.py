@@ -1,8 +1,8 @@
 """Poisson log-linear trend per locality, fitted inside the JVM.
 
-Each locality's series is first cut to a year range, so the array it is folded into has a proven
-bound (one entry per year of the range). Newton steps then run as array folds on that entry; no
-Python worker, no shuffle per step.
+Each locality's rows are first added up by year, so the array a series is folded into has one entry
+per year; a longer one than ``MOST_YEARS`` raises. Newton steps then run as array folds on that entry;
+no Python worker, no shuffle per step.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
 from placetrend.functions.numeric import cagr_pct, let, ratio, two_sided_p
-from placetrend.operators.clean import year_range
 from placetrend.operators.panel import KEY, VALUE, YEAR
 
+#: Bound on the years of a series.
+MOST_YEARS = 1000
 MAX_STEPS = 60
 STEP_LIMIT = 1.0
 TOLERANCE = 1e-7
@@ -166,20 +167,25 @@ def poisson_trend(
     value: str = VALUE,
     key: str = KEY,
     year: str = YEAR,
-    low: int = fv.RESTAURANT_YEAR_MIN,
-    high: int = fv.RESTAURANT_YEAR_MAX,
 ) -> DataFrame:
     """Growth per year from a Poisson fit on the centred year, with its quality.
 
+    All years count; which ones a job looks at is the job's filter. Several rows of one year are added
+    up, and a sum with an unknown part is unknown.
+
     A constant series has growth 0 and p-value 1. The likelihood has no finite maximum exactly when
     all counts but that of an end year are zero; such a series is ``not_converged``, without score.
 
     The report is an output of the aggregate itself, so a later filter on it cannot be pushed
     below and make the fit run twice.
     """
-    number = F.col(value).cast("double")
+    known = F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col(value).cast("double")))
+    yearly = panel.groupBy(key, year).agg(known.alias(value))
+    number = F.col(value)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(year), number.alias("y"))))
+    too_long = F.raise_error(F.lit(f"a series has more than {MOST_YEARS} years")).cast(f"array<struct<{year}:int,y:double>>")
     folded = F.struct(
-        F.array_sort(F.collect_list(F.struct(F.col(year), number.alias("y")))).alias("series"),
+        F.when(F.count(F.lit(1)) <= MOST_YEARS, entries).otherwise(too_long).alias("series"),
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
         F.avg(year).alias("mid"),
@@ -188,8 +194,7 @@ def poisson_trend(
         F.max(number).alias("high"),
     )
     fitted = (
-        year_range(panel, low, high, year=year)
-        .groupBy(key)
+        yearly.groupBy(key)
         .agg(
             F.concat_ws("-", F.min(year), F.max(year)).alias("years_covered"),
             F.count(F.lit(1)).alias("n_obs"),

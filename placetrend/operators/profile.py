@@ -18,10 +18,10 @@ def row_profile(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def describe_score(df: DataFrame, score: str = "trend_score", accuracy: int = 10_000) -> DataFrame:
-    """Count, missing, mean, sample std, extremes and quartiles (rank error at most 1/accuracy)."""
+def describe_score(df: DataFrame, score: str = "trend_score") -> DataFrame:
+    """Count, missing, mean, sample std, extremes and exact quartiles, which lie between two scores."""
     s = F.col(score)
-    quarts = F.percentile_approx(s, [0.25, 0.5, 0.75], accuracy)
+    quarts = F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return df.agg(
         F.count(s).alias("n"),
         F.count_if(s.isNull()).alias("n_missing"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
-from placetrend.functions.numeric import ratio
+from placetrend.functions.numeric import finite, ratio
 from placetrend.operators.panel import KEY
 
 
@@ -67,8 +67,9 @@ def _to_bound(x: Column, top: Column, bottom: Column, bound: float) -> Column:
 def sign_preserving(
     df: DataFrame, column: str = "trend_score", bound: float = fv.SCORE_BOUND
 ) -> DataFrame:
-    """Positive values to (0, bound], negative to [-bound, 0); zero and missing stay."""
-    x = F.col(column)
+    """Positive values to (0, bound], negative to [-bound, 0); zero and missing stay, and a value that
+    is no finite number is missing."""
+    x = finite(F.col(column).cast("double"))
     ends = with_global(df, top=F.max(F.when(x > 0, x)), bottom=F.min(F.when(x < 0, x)))
     scaled = _to_bound(x, F.col("_g.top"), F.col("_g.bottom"), bound)
     return ends.withColumn(column, scaled).drop("_g")
@@ -78,7 +79,7 @@ def sign_preserving_stacked(
     stacked: DataFrame, names: Sequence[str], column: str = "trend_score", bound: float = fv.SCORE_BOUND
 ) -> DataFrame:
     """The same for stacked score tables, each by its own extremes, which one aggregate finds."""
-    x, tag = F.col(column), F.col("indicator")
+    x, tag = finite(F.col(column).cast("double")), F.col("indicator")
     measures = {}
     for i, name in enumerate(names):
         measures[f"top{i}"] = F.max(F.when((tag == name) & (x > 0), x))

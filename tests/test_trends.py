@@ -234,7 +234,7 @@ def test_empty_inputs_give_empty_reports(spark):
     report = restaurants.restaurant_trend(none)
     assert report.columns == [
         "locality", "years_covered", "n_obs", "annual_growth_pct_poisson", "cagr_pct",
-        "p_value_year", "deviance_explained", "fit_status", "trend_score",
+        "p_value_year", "deviance_explained", "trend_score",
     ]
     assert report.count() == 0
     rows = frame(spark, "locality string, year int, jobs bigint", [])
@@ -464,4 +464,42 @@ def test_profiles(spark):
     assert table(profile.null_profile(df)) == [(0, 1)]
     assert table(profile.row_profile(df, "locality")) == [(3, 2)]
     d = profile.describe_score(df).first()
-    assert (d.n, d.n_missing, d["mean"], d["min"], d.q50, d["max"]) == (2, 1, 2.0, 1.0, 1.0, 3.0)
+    assert (d.n, d.n_missing, d["mean"], d["min"], d.q50, d["max"]) == (2, 1, 2.0, 1.0, 2.0, 3.0)
+
+
+# --- rows that used to be lost ------------------------------------------------------------------
+
+
+def test_poisson_looks_at_all_years_and_adds_up_repeated_ones(spark):
+    rows = [("a", y, n) for y, n in ((1995, 3), (1996, 4), (1997, 6), (1998, 9))]
+    got = poisson.poisson_trend(frame(spark, PANEL, rows)).first()
+    assert (got.years_covered, got.n_obs) == ("1995-1998", 4)
+    twice = poisson.poisson_trend(frame(spark, PANEL, [*rows[:3], ("a", 1998, 4), ("a", 1998, 5)])).first()
+    assert tuple(twice) == tuple(got)
+
+
+def test_a_series_of_too_many_years_raises(spark):
+    rows = frame(spark, PANEL, [("a", y, 1) for y in range(poisson.MOST_YEARS + 1)])
+    with pytest.raises(Exception, match="more than"):
+        poisson.poisson_trend(rows).collect()
+
+
+def test_scores_that_are_no_finite_number_are_missing(spark):
+    rows = [("a", float("nan")), ("b", 2.0), ("c", -1.0), ("d", float("inf")), ("e", float("-inf")), ("f", 1.0)]
+    scores = frame(spark, "locality string, trend_score double", rows)
+    expected = {"a": None, "b": 10.0, "c": -10.0, "d": None, "e": None, "f": 5.0}
+    assert {r.locality: r.trend_score for r in scale.sign_preserving(scores).collect()} == expected
+    fused = fuse.fuse_scores({"x": scores})
+    assert {r.locality: r.x for r in fused.collect()} == {"a": None, "b": 2.0, "c": -1.0, "d": None, "e": None, "f": 1.0}
+
+
+def test_fusion_reads_every_input_once(spark, tmp_path):
+    tables = {}
+    for name in "abc":
+        path = str(tmp_path / name)
+        frame(spark, "locality string, trend_score double", [("k", 1.0), (None, 2.0)]).write.parquet(path)
+        tables[name] = spark.read.parquet(path)
+    for joined in (fuse.full_outer_chain(tables), fuse.fuse_scores(tables)):
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 3
+        assert sorted(map(str, joined.collect())).count("Row(locality='k', a=1.0, b=1.0, c=1.0)") == 1 and joined.count() == 4
