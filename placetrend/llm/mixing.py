@@ -12,7 +12,9 @@ from placetrend.storage import materialise
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-SHARDS = 16
+#: Words that an output shard aims at, and most shards.
+SHARD_WORDS = 1 << 23
+MOST_SHARDS = 1 << 14
 SEED = 17
 #: Words that a block aims at, most blocks of a source, documents that a cell aims at, most cells.
 BLOCK_WORDS = 50_000
@@ -113,7 +115,13 @@ def _halved(quotas: Column, node: Column, seed: int) -> Column:
     return F.aggregate(quotas, start, step)["left"]
 
 
-def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shard_count(sized: DataFrame) -> int:
+    """A power of two that grows with the words, so that a shard stays one task's work."""
+    words = sized.agg(F.sum("size")).first()[0] or 0
+    return min(1 << max(words // SHARD_WORDS, 1).bit_length(), MOST_SHARDS)
+
+
+def shard_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``rank, ends``: for each source of ``quotas(rank, quota)``, the number of its blocks that go to
     the first 1, 2, ... ``shards`` output shards, a power of two. One row holds a node of the tree,
     with one number per source."""
@@ -192,7 +200,7 @@ def sized_rows(docs: DataFrame, id_column: str, source_column: str, text_column:
     )
 
 
-def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixing_plan(sized: DataFrame, shards: int, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per source: its target, how often all of it is taken, which blocks, cells and lots are
     taken once more, and how its blocks are dealt to the output shards.
 
@@ -263,16 +271,17 @@ def mix_draws(
     document is shuffled.
     """
     sized = materialise(sized_rows(docs, id_column, source_column, text_column, seed), "mix-sizes")
-    return with_draws(sized, mixing_plan(sized, seed=seed), seed)
+    return with_draws(sized, mixing_plan(sized, shard_count(sized), seed=seed), seed)
 
 
 def mixture(
-    docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = SEED, shards: int = SHARDS
+    docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = SEED
 ) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are drawn, dealt to output shards and
     shuffled in each by place. A shard is one task's output, of about equal numbers of blocks."""
     sized = materialise(sized_rows(docs, id_column, source_column, text_column, seed), "mix-sizes")
-    plan = mixing_plan(sized, shards=shards, seed=seed)
+    shards = shard_count(sized)
+    plan = mixing_plan(sized, shards, seed=seed)
     own = {c: f"own{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(
         *(F.col(f"`{c}`").alias(own[c]) for c in docs.columns),
