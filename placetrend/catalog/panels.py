@@ -161,7 +161,7 @@ def fill_down_blocks(spark, sf_dir):
         (start + F.col("locality").cast("bigint")).alias("row_idx"),
         F.when(F.col("value") >= 3, F.col("value")).alias("section"),
     )
-    return fill_down(rows, "section", listed=0, block_rows=128)
+    return fill_down(rows, "section", block_rows=128)
 
 
 # --- sorts, limits, set operations, reshaping ---------------------------------------------------------

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from placetrend import fixed_values as fv
 from placetrend.functions.text import is_year_cell
 
-FILL_LISTED_HEADS = 256
 FILL_BLOCK_ROWS = 1 << 16
 FILL_LEVELS = 2
 
@@ -51,25 +50,10 @@ def fill_down(
     df: DataFrame,
     value: str,
     order: str = "row_idx",
-    listed: int = FILL_LISTED_HEADS,
     block_rows: int = FILL_BLOCK_ROWS,
     levels: int = FILL_LEVELS,
 ) -> DataFrame:
-    """Replace NULL by the last value above; ``order`` must be unique.
-
-    At most ``listed`` rows that carry a value are fetched. If these are all, every row looks its
-    section up in that short list and the body is not shuffled. If there are more, the body is
-    filled block by block.
-    """
-    heads = df.where(F.col(value).isNotNull()).select(order, value).limit(listed + 1).collect()
-    if not heads:
-        return df
-    if len(heads) <= listed:
-        sections = F.array(
-            *[F.struct(F.lit(h[0]).alias("at"), F.lit(h[1]).alias("value")) for h in sorted(heads)]
-        )
-        above = F.filter(sections, lambda h: h["at"] <= F.col(order))
-        return df.withColumn(value, F.try_element_at(above, F.lit(-1))["value"])
+    """Replace NULL by the last value above, block by block; ``order`` must be unique."""
     seen = _value_before(df, order, value, "_above", block_rows, levels)
     return seen.withColumn(value, F.coalesce(value, "_above")).drop("_above")
 
@@ -80,7 +64,6 @@ def tidy_sheet(
     year_cell: int = fv.SHEET_YEAR_CELL,
     locality_cell: int = fv.SHEET_LOCALITY_CELL,
     first_measure: int = fv.SHEET_FIRST_MEASURE_CELL,
-    listed: int = FILL_LISTED_HEADS,
     block_rows: int = FILL_BLOCK_ROWS,
 ) -> DataFrame:
     """Sheet with year sections -> (year, locality, one BIGINT column per measure).
@@ -97,7 +80,7 @@ def tidy_sheet(
         F.get(cell, F.lit(first_measure + i)).cast("bigint").alias(n) for i, n in enumerate(names)
     ]
     return (
-        fill_down(body, "_year", listed=listed, block_rows=block_rows)
+        fill_down(body, "_year", block_rows=block_rows)
         .where(F.col("_year").isNotNull() & (label != ""))
         .select(F.col("_year").cast("int").alias("year"), label.alias("locality"), *measures)
     )

@@ -140,9 +140,9 @@ def sheet_rows():
     ]
 
 
-@pytest.mark.parametrize("listed", [0, 256])
-def test_tidy_sheet(spark, listed):
-    tidy = sheet.tidy_sheet(grid(spark, sheet_rows()), listed=listed, block_rows=2)
+@pytest.mark.parametrize("block_rows", [2, 1 << 16])
+def test_tidy_sheet(spark, block_rows):
+    tidy = sheet.tidy_sheet(grid(spark, sheet_rows()), block_rows=block_rows)
     assert table(tidy) == [
         (2020, "- Suisse", 30, 3),
         (2020, "......0001 Aa", 10, 1),
@@ -151,9 +151,8 @@ def test_tidy_sheet(spark, listed):
     ]
 
 
-@pytest.mark.parametrize("listed", [0, 3, 256])
 @pytest.mark.parametrize("block_rows", [2, 3, 7, 1000])
-def test_fill_down_equals_a_plain_scan(spark, listed, block_rows):
+def test_fill_down_equals_a_plain_scan(spark, block_rows):
     import random
 
     rng = random.Random(block_rows)
@@ -165,7 +164,7 @@ def test_fill_down_equals_a_plain_scan(spark, listed, block_rows):
         rows.append((at, value))
         expected.append((at, seen))
     df = frame(spark, "row_idx bigint, v int", rows)
-    assert table(sheet.fill_down(df, "v", listed=listed, block_rows=block_rows)) == expected
+    assert table(sheet.fill_down(df, "v", block_rows=block_rows)) == expected
 
 
 def test_fill_down_without_any_value(spark):
