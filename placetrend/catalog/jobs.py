@@ -73,7 +73,7 @@ def restaurant_counts(spark, sf_dir):
 def restaurant_counts_shuffled(spark, sf_dir):
     """The same job as it runs when the polygons are too large to broadcast."""
     nodes = amenity_nodes(an.tagged_nodes(spark, sf_dir))
-    return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir), broadcast_bytes=0)
+    return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir), strategy="merge")
 
 
 @query("restaurant_trend", with_ctes(*POISSON_SQL) + f" SELECT {REPORT_COLUMNS} FROM p")

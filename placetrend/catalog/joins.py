@@ -96,4 +96,4 @@ def point_in_polygon(spark, sf_dir):
 )
 def point_in_polygon_shuffled(spark, sf_dir):
     """The same join as it runs when the polygons are too large to broadcast."""
-    return points_in_polygons(an.event_points(spark, sf_dir), an.houses(spark, sf_dir), broadcast_bytes=0)
+    return points_in_polygons(an.event_points(spark, sf_dir), an.houses(spark, sf_dir), strategy="merge")

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from placetrend.functions.geo import ring_edges, strictly_inside
+from placetrend.storage import materialise
 
-BROADCAST_BYTES = 64 << 20
-EDGE_BYTES, ROW_BYTES = 40, 200
 CELLS_PER_POLYGON = 64
-SALTS = 16
 
 
 def polygon_edges(polygons: DataFrame, name: str = "name", ring: str = "ring") -> DataFrame:
@@ -76,57 +74,37 @@ def cut_into_cells(shapes: DataFrame, cell: float, name: str = "name") -> DataFr
 
 @dataclass(frozen=True)
 class PolygonGrid:
-    """Polygons cut into cells, with their measured size settled: ``small`` ones may be broadcast."""
+    """Polygons cut into cells, written once, so that the planner knows their true size."""
 
     cells: DataFrame
     cell: float
     name: str
-    small: bool
 
 
-def polygon_grid(
-    polygons: DataFrame,
-    name: str = "name",
-    ring: str = "ring",
-    cell: float | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> PolygonGrid:
+def polygon_grid(polygons: DataFrame, name: str = "name", ring: str = "ring", cell: float | None = None) -> PolygonGrid:
     shapes = polygon_edges(polygons, name, ring)
     cell = cell or choose_cell(shapes)
-    cells = cut_into_cells(shapes, cell, name)
-    edges = F.coalesce(F.sum(F.size("edges")), F.lit(0))
-    size = cells.agg((F.count(F.lit(1)) * ROW_BYTES + edges * EDGE_BYTES).alias("bytes")).first()["bytes"]
-    return PolygonGrid(cells, cell, name, size <= broadcast_bytes)
+    return PolygonGrid(materialise(cut_into_cells(shapes, cell, name), "polygon-cells"), cell, name)
 
 
-def points_in_grid(
-    points: DataFrame, grid: PolygonGrid, x: str = "x", y: str = "y", salts: int = SALTS
-) -> DataFrame:
+def points_in_grid(points: DataFrame, grid: PolygonGrid, x: str = "x", y: str = "y", strategy: str | None = None) -> DataFrame:
     """Left join: every point with each polygon that strictly contains it, else with NULL.
 
-    A small grid goes to every executor and the points are not shuffled at all. With a large one
-    both sides are shuffled on the cell, the points salted by content so that a hot cell is split
-    over ``salts`` tasks; count copies of a point together before that.
+    The join is on the cell. The planner broadcasts a small grid, and the points are not shuffled; with a
+    large one both sides are shuffled, and the adaptive skew join splits a hot cell by its actual size.
+    ``strategy`` is a join hint, for trials; count copies of a point together first.
     """
-    cells = grid.cells
+    cells = grid.cells.hint(strategy) if strategy else grid.cells
     located = points.withColumns(
         {"_px": F.floor(F.col(x) / grid.cell), "_py": F.floor(F.col(y) / grid.cell)}
     )
     meet = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
-    if grid.small:
-        cells = F.broadcast(cells)
-    else:
-        located = located.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)))
-        copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-        # measured as too large to broadcast; the planner's estimate ignores what explode adds
-        cells = cells.withColumn("_copy", F.explode(copies)).hint("merge")
-        meet = meet & (F.col("_salt") == F.col("_copy"))
     inside = strictly_inside(F.col(x), F.col(y), F.col("edges"))
     return located.join(cells, meet & inside, "left").select(*points.columns, grid.name)
 
 
 def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", salts: int = SALTS, **grid
+    points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", strategy: str | None = None, **grid
 ) -> DataFrame:
     """``points_in_grid`` on polygons given as (name, ring)."""
-    return points_in_grid(points, polygon_grid(polygons, **grid), x, y, salts)
+    return points_in_grid(points, polygon_grid(polygons, **grid), x, y, strategy)

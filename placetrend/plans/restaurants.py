@@ -19,23 +19,18 @@ COUNT = "num_restaurants"
 
 
 def restaurant_counts(
-    nodes: DataFrame, polygons: DataFrame, amenity: str = fv.AMENITY, **grid_options
+    nodes: DataFrame, polygons: DataFrame, amenity: str = fv.AMENITY, strategy: str | None = None, **grid_options
 ) -> DataFrame:
     """Amenity nodes and (name, ring) polygons in LV95 -> locality, year, num_restaurants.
 
-    With polygons small enough to broadcast, nodes are matched where they are read and only
-    partial counts are shuffled. Otherwise nodes at one place and year are counted first, so that
-    copies of a node are shuffled and tested once.
+    Nodes at one place and year are counted first, so that copies of a node are tested once.
     """
     grid = polygon_grid(polygons, **grid_options)
     named = nodes.where(F.col("amenity") == amenity).dropna(subset=["name"])
-    if grid.small:
-        places = named.withColumn("_n", F.lit(1).cast("bigint"))
-    else:
-        places = named.groupBy("year", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
+    places = named.groupBy("year", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
     east, north = wgs84_to_lv95(F.col("lat"), F.col("lon"))
     located = places.select("year", "_n", east.alias("x"), north.alias("y"))
-    matched = points_in_grid(located, grid).withColumnRenamed(grid.name, "locality")
+    matched = points_in_grid(located, grid, strategy=strategy).withColumnRenamed(grid.name, "locality")
     counts = (
         matched.dropna(subset=["locality"])
         .groupBy("locality", "year")

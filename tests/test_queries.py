@@ -75,10 +75,10 @@ def test_small_polygons_leave_the_points_where_they_are(spark):
     assert "BroadcastHashJoin" in plan and exchanges(plan) == 0
 
 
-def test_large_polygons_meet_salted_points_in_a_merge_join(spark):
+def test_large_polygons_meet_points_in_a_merge_join(spark):
     plan = plan_of(QUERIES["point_in_polygon_shuffled"](spark, SF_DIR))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-    assert re.search(r"Exchange hashpartitioning\(_px#\S+ _py#\S+ _salt#", plan)
+    assert re.search(r"Exchange hashpartitioning\(_px#\S+ _py#", plan)
 
 
 def test_a_filter_on_the_report_does_not_repeat_the_fit(spark):

@@ -16,11 +16,11 @@ POLYGON = "name string, ring array<struct<x:double,y:double>>"
 POINT = "id int, x double, y double"
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
-def test_boundary_is_outside(spark, broadcast_bytes):
+@pytest.mark.parametrize("strategy", [None, "merge"])
+def test_boundary_is_outside(spark, strategy):
     square = frame(spark, POLYGON, [("sq", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])])
     points = frame(spark, POINT, [(1, 5.0, 5.0), (2, 15.0, 5.0), (3, 10.0, 5.0), (4, 0.0, 0.0), (5, None, 1.0)])
-    got = spatial.points_in_polygons(points, square, broadcast_bytes=broadcast_bytes, cell=3.0)
+    got = spatial.points_in_polygons(points, square, strategy=strategy, cell=3.0)
     assert table(got, "id", "name") == [(1, "sq"), (2, None), (3, None), (4, None), (5, None)]
 
 
@@ -40,8 +40,8 @@ def inside(x, y, corners):
 
 
 @pytest.mark.parametrize("cell", [None, 0.7, 3.0, 1000.0])
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
-def test_grid_join_equals_nested_loop(spark, cell, broadcast_bytes):
+@pytest.mark.parametrize("strategy", [None, "merge"])
+def test_grid_join_equals_nested_loop(spark, cell, strategy):
     rng = random.Random(4)
     rings = [(f"p{i}", ring(rng, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([1, 4, 15]))) for i in range(25)]
     rings.append(("none", []))
@@ -52,7 +52,7 @@ def test_grid_join_equals_nested_loop(spark, cell, broadcast_bytes):
         names = [n for n, corners in rings if corners and inside(x, y, corners)]
         want += [(i, n) for n in names] or [(i, None)]
     got = spatial.points_in_polygons(
-        frame(spark, POINT, points), frame(spark, POLYGON, rings), cell=cell, broadcast_bytes=broadcast_bytes
+        frame(spark, POINT, points), frame(spark, POLYGON, rings), cell=cell, strategy=strategy
     )
     assert table(got, "id", "name") == sorted(want, key=lambda t: (t[0], t[1] is None, t[1]))
 
@@ -65,14 +65,14 @@ def test_cell_choice_bounds_the_cut(spark):
     assert spatial.cut_into_cells(shapes, cell).count() < 21 * 4 * spatial.CELLS_PER_POLYGON
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
-def test_restaurant_counts_keep_copies_and_drop_unmatched(spark, broadcast_bytes):
+@pytest.mark.parametrize("strategy", [None, "merge"])
+def test_restaurant_counts_keep_copies_and_drop_unmatched(spark, strategy):
     box = frame(spark, POLYGON, [("here", [(2.5e6, 1.1e6), (2.8e6, 1.1e6), (2.8e6, 1.3e6), (2.5e6, 1.3e6)])])
     node = "id bigint, lat double, lon double, amenity string, name string, year int"
     rows = [(i, 46.9, 7.4, "restaurant", "N", 2014) for i in range(5)]
     rows += [(9, 46.9, 7.4, "bank", "N", 2014), (10, 46.9, 7.4, "restaurant", None, 2014)]
     rows += [(11, 10.0, 7.4, "restaurant", "far", 2014), (12, 46.9, 7.5, "restaurant", "N", 2015)]
-    counts = restaurant_counts(frame(spark, node, rows), box, broadcast_bytes=broadcast_bytes)
+    counts = restaurant_counts(frame(spark, node, rows), box, strategy=strategy)
     assert [tuple(r) for r in counts.collect()] == [("here", 2015, 1), ("here", 2014, 5)]
 
 
