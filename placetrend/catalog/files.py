@@ -138,6 +138,18 @@ def year_from_filename(spark, sf_dir):
     return named.where(F.col("year").isNotNull())
 
 
+@query(
+    "node_table_scan",
+    with_ctes(an.NODES_SQL)
+    + " SELECT id, lat, lon, amenity, name, CAST(2000 + CAST(snapshot[9:10] AS INT) AS INT) AS year"
+    " FROM nodes WHERE amenity IS NOT NULL",
+)
+def node_table_scan(spark, sf_dir):
+    path = scratch_path(spark, "node-table")
+    an.tagged_nodes(spark, sf_dir).write.partitionBy("snapshot").parquet(path)
+    return nodes.amenity_nodes(nodes.checked_snapshots(nodes.read_node_table(spark, path, "snapshot")))
+
+
 @query(
     "osm_amenity_nodes",
     with_ctes(an.NODES_SQL)

@@ -16,7 +16,9 @@ from placetrend.catalog.trends import POISSON_NUMBERS, POISSON_SQL, REPORT_COLUM
 from placetrend.operators.panel import to_panel
 from placetrend.plans import building, composite, demography, restaurants, third_sector
 from placetrend.sources.nodes import amenity_nodes
+from placetrend.sources.polygons import read_polygons
 from placetrend.sources.sheet import promote_year_header, tidy_sheet
+from placetrend.storage import scratch_path
 
 SCORE = f" SELECT locality, {q6('trend_score')} AS trend_score FROM s"
 
@@ -69,6 +71,14 @@ def restaurant_counts(spark, sf_dir):
     return restaurants.restaurant_counts(nodes, an.hexagons(spark, sf_dir))
 
 
+@query("restaurant_counts_layer", COUNTS_SQL)
+def restaurant_counts_layer(spark, sf_dir):
+    """The same job on a polygon layer read from parquet."""
+    path = scratch_path(spark, "polygon-layer")
+    an.hexagons(spark, sf_dir).withColumnRenamed("name", "NAME").write.parquet(path)
+    return restaurants.restaurant_counts(amenity_nodes(an.tagged_nodes(spark, sf_dir)), read_polygons(spark, path))
+
+
 @query("restaurant_counts_shuffled", COUNTS_SQL)
 def restaurant_counts_shuffled(spark, sf_dir):
     """The same job as it runs when the polygons are too large to broadcast."""

@@ -208,6 +208,12 @@ POISSON_SQL = (
     " (SELECT locality FROM part_panel GROUP BY 1 HAVING count(DISTINCT year) >= 3))",
     op.poisson("part_kept", "num_restaurants", "p"),
 )
+ENDS_SQL = (
+    *POISSON_SQL[:2],
+    "part_ends AS (SELECT locality, year, CASE WHEN year = "
+    f"{an.LAST_YEAR} THEN num_restaurants ELSE 0 END AS num_restaurants FROM part_kept)",
+    op.poisson("part_ends", "num_restaurants", "p"),
+)
 REPORT_COLUMNS = "locality, years_covered, n_obs, " + ", ".join(f"{q6(c)} AS {c}" for c in POISSON_NUMBERS)
 POISSON_COLUMNS = f"fit_status, {REPORT_COLUMNS}"
 
@@ -233,10 +239,13 @@ def significant_trends(spark, sf_dir):
 
 @query(
     "fit_failures",
-    with_ctes(*POISSON_SQL) + " SELECT locality, years_covered, n_obs, fit_status FROM p WHERE fit_status = 'not_converged'",
+    with_ctes(*ENDS_SQL) + " SELECT locality, years_covered, n_obs, fit_status FROM p WHERE fit_status = 'not_converged'",
 )
 def fit_failures(spark, sf_dir):
-    failed = poisson.fit_failures(_poisson(spark, sf_dir))
+    """Counts of the last year alone: a part with any then has no finite fit."""
+    counts = restaurant_panel(an.part_panel(spark, sf_dir), **SERIES)
+    ends = counts.withColumn("num_restaurants", F.when(F.col("year") == an.LAST_YEAR, F.col("num_restaurants")).otherwise(0))
+    failed = poisson.fit_failures(poisson.poisson_trend(ends, "num_restaurants"))
     return failed.select("locality", "years_covered", "n_obs", "fit_status")
 
 

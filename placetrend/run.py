@@ -31,7 +31,8 @@ def _building(spark, a) -> None:
 
 
 def _restaurant_counts(spark, a) -> None:
-    found = nodes.amenity_nodes(nodes.read_node_xml(spark, a.nodes, a.snapshot_column))
+    read = nodes.read_node_table if a.node_format == "parquet" else nodes.read_node_xml
+    found = nodes.amenity_nodes(nodes.checked_snapshots(read(spark, a.nodes, a.snapshot_column)))
     counts = restaurants.restaurant_counts(found, polygons.read_polygons(spark, a.polygons), a.amenity)
     delimited.write_delimited(counts, a.out)
 
@@ -87,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
     p = job("building", _building, "--sheet")
     p.add_argument("--type", default=fv.BUILDING_TYPE)
     p = job("restaurant-counts", _restaurant_counts, "--nodes", "--polygons")
+    p.add_argument("--node-format", choices=("parquet", "xml"), default="xml")
     p.add_argument("--amenity", default=fv.AMENITY)
     p.add_argument("--snapshot-column")
     p = job("restaurant-trend", _restaurant_trend, "--counts")

@@ -1,13 +1,23 @@
-"""Snapshots of tagged map nodes."""
+"""Snapshots of tagged map nodes.
+
+Landed parquet tables are the main input. XML extracts are read one task per file, as a node may span
+lines and a file has no safe place to split at; land large extracts as parquet first.
+"""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetrend.functions.geo import valid_location
 from placetrend.functions.text import year_from_name
+from placetrend.sources.contract import require_columns
+
+log = logging.getLogger(__name__)
 
+NODE_COLUMNS = ("id", "lat", "lon", "tags")
 NODE_XML_SCHEMA = "_id BIGINT, _lat DOUBLE, _lon DOUBLE, tag ARRAY<STRUCT<_k: STRING, _v: STRING>>"
 
 
@@ -29,6 +39,28 @@ def read_node_xml(spark: SparkSession, path: str, snapshot: str | None = None) -
     )
 
 
+def read_node_table(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
+    """Parquet nodes -> (id, lat, lon, tags, snapshot), ``tags`` a map.
+
+    ``snapshot`` names the column that holds the extract's name; without it the file name is used.
+    """
+    table = require_columns(spark.read.parquet(path), [*NODE_COLUMNS, *([snapshot] if snapshot else [])])
+    name = F.col(snapshot) if snapshot else F.col("_metadata.file_name")
+    return table.select(*NODE_COLUMNS, name.alias("snapshot"))
+
+
+def checked_snapshots(nodes: DataFrame) -> DataFrame:
+    """The nodes, after a look at their snapshots: none at all raises, names without a year are logged
+    with their nodes, which ``amenity_nodes`` leaves out."""
+    names = nodes.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
+    found, named = names.agg(F.sum("n"), F.sum(F.when(year_from_name(F.col("snapshot")).isNotNull(), F.col("n")))).first()
+    if not found:
+        raise ValueError("no node was loaded")
+    if found != (named or 0):
+        log.warning("%d of %d nodes are in snapshots whose name has no year and are left out", found - (named or 0), found)
+    return nodes
+
+
 def amenity_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with an ``amenity`` tag, a valid place and a year in the snapshot name."""
     return nodes.select(

@@ -250,3 +250,13 @@ def test_shared_folder_setting_wins(spark, monkeypatch):
     assert shared_folder(Session(spark_checkpoint_dir="s3://shared/x/")) == "s3://shared/x"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session(spark_master="yarn"))
+
+
+def test_snapshots_without_nodes_raise_and_those_without_a_year_are_logged(spark, caplog):
+    schema = "id bigint, lat double, lon double, tags map<string,string>, snapshot string"
+    rows = [(1, 46.0, 7.0, {"amenity": "restaurant"}, "x-140101.osm"), (2, 46.0, 7.0, {"amenity": "restaurant"}, "x.osm")]
+    with pytest.raises(ValueError, match="no node"):
+        nodes.checked_snapshots(frame(spark, schema, []))
+    with caplog.at_level("WARNING"):
+        kept = nodes.amenity_nodes(nodes.checked_snapshots(frame(spark, schema, rows)))
+    assert [r.id for r in kept.collect()] == [1] and "1 of 2 nodes" in caplog.text

@@ -126,3 +126,8 @@ def test_every_query_has_sql_and_reads_the_tables(spark, monkeypatch):
         read.clear()
         fn(spark, SF_DIR)
         assert read, name
+
+
+@pytest.mark.parametrize("name", ["fit_failures", "restaurant_counts_layer", "node_table_scan"])
+def test_checks_compare_rows(con, name):
+    assert con.sql(f"SELECT count(*) FROM ({ORACLE[name].rstrip(';')})").limit(1).fetchall()[0][0] > 0
