@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has leave the text; ``n_chars`` follows."""
-    cut = chunk_dedup(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    cut = chunk_dedup(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), to_ends=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -57,7 +57,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_chunk_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup(read(spark, sf_dir, "documents"))
+    return chunk_dedup(read(spark, sf_dir, "documents"), to_ends=True)
 
 
 @query("op4_suffix_dedup")

@@ -46,6 +46,7 @@ def cut_spans(
     keys: Callable[[list, list[bytes]], np.ndarray] = text_key,
     least: int = 1,
     carry: tuple[str, ...] = (),
+    settle: Callable[[bytes, list[dict], int], Spans] | None = None,
 ) -> DataFrame:
     """``doc_id`` and what ``describe`` says of every row's text and its merged spans.
 
@@ -53,9 +54,12 @@ def cut_spans(
     below ``least`` bytes are left in. Rows without spans are described where they are; the others
     are shuffled by key, with all spans of their text, which has no more of them than bytes.
     ``describe`` returns one list per field of ``schema``. The columns of ``carry`` come along behind.
+    With ``settle``, which is given a text, its rows of ``spans`` and ``least``, that says which merged
+    spans go; ``spans`` then has no equal rows, and may have further columns.
     """
     bitmap = gather_bits(spans, "k1", FILTER_BITS)
-    by_text = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    parts = [c for c in spans.columns if c not in ("k1", "k2")]
+    by_text = (spans if settle else spans.distinct()).groupBy("k1", "k2").agg(F.collect_list(F.struct(*parts)).alias("spans"))
     kind = docs.schema[id_column].dataType.simpleString()
     fields = [f.split() for f in schema.split(",")]
     names, kinds = ["doc_id", *(f[0] for f in fields)], [_ARROW[f[1]] for f in fields]
@@ -81,12 +85,15 @@ def cut_spans(
                 kept = [batch.column(k).take(pa.array(at)) for k in (0, *range(2, 2 + len(along)))]
                 yield pa.RecordBatch.from_arrays([kept[0], *columns, *kept[1:]], [*names, "k1", "k2", "raw", *along])
 
+    def whole(text: bytes, rows: list[dict], least: int) -> Spans:
+        return [s for s in merged([(x["start"], x["end"]) for x in rows]) if s[1] - s[0] >= least]
+
     def cut(batches):
         for batch in small(batches):
-            found = [merged([(s["start"], s["end"]) for s in x or []]) for x in batch.column(2).to_pylist()]
-            found = [[s for s in x if s[1] - s[0] >= least] for x in found]
+            texts = as_bytes(batch.column(1))
+            found = [(settle or whole)(t, x or [], least) for t, x in zip(texts, batch.column(2).to_pylist(), strict=True)]
             kept = batch.columns[3:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(as_bytes(batch.column(1)), found), *kept], [*names, *along])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays(texts, found), *kept], [*names, *along])
 
     out = f"doc_id {kind}, {schema}"
     extra = [F.col(f"`{c}`").alias(a) for a, c in zip(along, carry, strict=True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from placetrend.llm import chunks, licenses, mixing, pieces, quality, shared, simhash, suffixes, token_counts
-from tests.llm.fixtures import awkward, empty, listed
+from tests.llm.fixtures import awkward, empty, listed, sentence
 
 SF_DIR = "/root/testdata/sf0.001"
 WORDS = re.compile(shared.WORD)
@@ -224,6 +225,32 @@ def test_shared_passages_leave_all_texts_but_the_first(spark, rows):
     assert all(len(found[i]) < len(whole[i]) - 400 for i in range(13, 18))
 
 
+def test_planted_passages_go_to_their_ends(spark):
+    """Passages of 51 to 60 words between other words in two documents: all leave the second, whole."""
+    rng = random.Random(11)
+    passages = [sentence(rng, 51 + k % 10) for k in range(400)]
+    table = [(k + 400 * j, f"{sentence(rng, rng.randint(3, 40))}. {p} | {sentence(rng, rng.randint(3, 40))}") for j in (0, 1) for k, p in enumerate(passages)]
+    found = {r.doc_id: r for r in chunks.chunk_dedup(spark.createDataFrame(table, "doc_id int, text string"), to_ends=True).collect()}
+    plain = {r.doc_id: r for r in chunks.chunk_dedup(spark.createDataFrame(table, "doc_id int, text string")).collect()}
+    wanted = [(len(p.encode()), found[k + 400].n_removed, plain[k + 400].n_removed) for k, p in enumerate(passages)]
+    assert all(found[k].text == t for k, t in table[:400])
+    assert sum(n <= got <= n + 8 for n, got, _ in wanted) >= 0.98 * len(wanted) and all(got > 0.5 * n for n, got, _ in wanted)
+    assert sum(got for _, got, _ in wanted) > 1.1 * sum(less for _, _, less in wanted)
+
+
+def test_stretched_runs_spare_the_earlier_place_and_characters():
+    rng = random.Random(12)
+    head, passage = (sentence(rng, 30) + " é").encode(), (sentence(rng, 60) + " é").encode()
+    text, size, at = head + passage + passage, len(passage), len(head)
+    run = {"start": at + size + 40, "end": at + 2 * size}
+    ends = [{**run, "side": 0, "at": at + 40, "bytes": text[: at + 40]}, {**run, "side": 1, "at": at + size, "bytes": text[at + size :][:64]}]
+    assert chunks.stretched(text, ends, 128) == [(at + size, at + 2 * size)]  # not the " é" before, which is the first copy's own
+    other = "x" * 40 + "ß" + "y" * 200 + "é" + "z" * 9
+    data, run = other.encode(), {"start": 60, "end": 200, "at": None}
+    cut = [{**run, "side": 0, "bytes": b"\x9f" + data[42:60]}, {**run, "side": 1, "bytes": data[200:242] + b"\xc3\xaa"}]
+    assert chunks.stretched(data, cut, 128) == [(42, 242)] and chunks.stretched(data, cut, 201) == []
+
+
 def test_mixing_targets_and_draws(spark, case):
     df, table = case
     sizes = [len(WORDS.findall(t or "")) for _, t, _ in table]
