@@ -29,6 +29,7 @@ BARE = frozenset(
     "style svg template textarea title".split()
 )
 CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark what surrounds an article.
 MARKS = frozenset(
     "ad ads adslot adsense advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent "
@@ -45,6 +46,7 @@ class Element:
     parent: Element | None
     bare: bool
     article: bool
+    link: bool = False
 
     def up(self) -> Iterator[Element]:
         at: Element | None = self
@@ -60,6 +62,7 @@ class Line:
     within: Element
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    linked: int = 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -103,7 +106,7 @@ class PageLines(HTMLParser):
                 bare = bare or _marked(attributes)
             elif tag == "article":
                 bare = bare or (up.article and _marked(attributes))
-            self.top = Element(tag, up, bare, inside)
+            self.top = Element(tag, up, bare, inside, up.link or tag == "a")
         if tag in BLOCK or self.top.bare != (self.top.parent.bare if self.top.parent else False):
             self._break()
         self.lines[-1].tags += 1
@@ -131,6 +134,8 @@ class PageLines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.lines[-1].parts.append(data)
+        if self.top.link:
+            self.lines[-1].linked += len(data)
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -144,7 +149,9 @@ def _region(lines: list[Line], texts: list[str]) -> Element | None:
     """The element that holds the content: where lines of a high smoothed text-to-tag ratio cluster.
 
     Every line above the threshold gives its length to the elements around it. An article or main
-    element with the most wins; without one, the deepest container that has nine tenths.
+    element with the most wins, all of it. Without one, the deepest container that has nine tenths is
+    widened until it holds all lines above the threshold that are not mostly links, every h1, and
+    headings beside or above it.
     """
     sizes = np.array([len(t) for t in texts], float)
     ratios = smoothed(sizes / np.maximum([line.tags for line in lines], 1))
@@ -156,13 +163,21 @@ def _region(lines: list[Line], texts: list[str]) -> Element | None:
                 votes[element] = votes.get(element, 0) + size
     total = sizes[content].sum()
     named = [e for e in votes if e.article and not (e.parent and e.parent.article)]
-    inner = [e for e in votes if e.tag == "article" and any(n in named for n in e.up())]
     if named:
-        best = max(named, key=lambda e: votes[e])
-        within = [e for e in inner if best in e.up() and 2 * votes[e] >= votes[best]]
-        return min(within, key=lambda e: sum(1 for _ in e.up())) if within else best
+        return max(named, key=lambda e: votes[e])
     wide = [e for e in votes if (e.tag in CONTAINERS or not e.tag) and votes[e] >= 0.9 * total]
-    return max(wide, key=lambda e: sum(1 for _ in e.up()), default=None)
+    best = max(wide, key=lambda e: sum(1 for _ in e.up()), default=None)
+    if best is None:
+        return None
+    around = set(best.up())
+    held, needed = dict.fromkeys(around, 0), 0
+    for line, size, chosen in zip(lines, sizes, content, strict=True):
+        if (chosen and 2 * line.linked < size) or any(e.tag == "h1" or (e.tag in HEADINGS and e.parent in around) for e in line.within.up()):
+            needed += 1
+            for element in line.within.up():
+                if element in held:
+                    held[element] += 1
+    return next(e for e in best.up() if (e.tag in CONTAINERS or not e.tag) and held[e] == needed)
 
 
 def main_text(html: str) -> str:

@@ -51,6 +51,23 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LONG = " ".join(["a long paragraph of the article"] * 30)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=post><h1>Title</h1><p>lead</p><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title\nlead\n{LONG}\n{LONG}"),
+        (f"<div><h2>Title</h2><p>12 May</p><div><p>{LONG}</p><p>{LONG}</p></div></div><div><a>x</a><a>y</a></div>", f"Title\n12 May\n{LONG}\n{LONG}"),
+        (f"<div><div class=top><h1>T</h1></div><div><p>{LONG}</p></div></div><div class=sidebar>s</div>", f"T\n{LONG}"),
+        (f"<main><article><p>{LONG}</p></article><article><p>B</p></article></main><footer>f</footer>", f"{LONG}\nB"),
+        (f"<main><h1>T</h1><p>intro</p><article><p>{LONG}</p></article><aside>s</aside></main>", f"T\nintro\n{LONG}"),
+    ],
+)
+def test_headline_lead_and_all_of_main_stay(page, text):
+    assert main_text(page) == text
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (None, None, "<p>a</p>"), (1, "u", None), (2, "v", "")]
     found = extract_text(spark.createDataFrame(rows, "page_id int, url string, html string"))
