@@ -1,4 +1,4 @@
-"""SimHash near-duplicate groups, found by multi-index hashing."""
+"""SimHash near-duplicate groups, found by the one-bit neighbourhoods of whole fingerprints."""
 
 from __future__ import annotations
 
@@ -75,10 +75,10 @@ def _balls(segments: int) -> list[list[int]]:
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """Links ``(u, v)`` that connect every two fingerprints of ``prints(fp)`` at ``max_bits`` or fewer.
 
-    Multi-index hashing: a fingerprint enters the table of each segment under every member of the
-    radius-one ball around that segment, its other segments unchanged. Two fingerprints that differ
-    in one or two bits, in one segment or in two, enter some table under the same key: one of them
-    moves one differing bit, the other moves the other or none. A key has ``BITS + 1`` fingerprints
+    In place of tables by segment, a fingerprint enters one table under itself and under each that
+    differs from it in one bit. The key is the whole fingerprint, so ``segments`` only orders the
+    masks and changes no result. Two fingerprints that differ in one or two bits share a key: one of
+    them moves one differing bit, the other moves the other or none. A key has ``BITS + 1`` fingerprints
     at most, so there is no hot bucket, however dense a group of near copies is. Its entries are
     kept as the set of moved bits, in one long. Matches are fetched by key, each entry is linked to
     one of them, and every link's complete distance is verified.
