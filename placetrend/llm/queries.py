@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetrend.llm.chunks import chunk_dedup
+from placetrend.llm.filter_audit import AUDIT_SQL, audit
 from placetrend.llm.html_text import extract_text
 from placetrend.llm.licenses import license_scan
 from placetrend.llm.mixing import mix_draws
 from placetrend.llm.neighbours import nearest_neighbours
 from placetrend.llm.pieces import encode_texts
+from placetrend.llm.prefix_trie import TRIE_SQL, conversation_trie
 from placetrend.llm.quality import quality_rules, train
 from placetrend.llm.shared import read
 from placetrend.llm.simhash import simhash_groups
@@ -86,3 +88,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
