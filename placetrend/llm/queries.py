@@ -12,6 +12,7 @@ from placetrend.llm.chunks import chunk_dedup
 from placetrend.llm.filter_audit import AUDIT_SQL, audit
 from placetrend.llm.html_text import extract_text
 from placetrend.llm.licenses import license_scan
+from placetrend.llm.minhash_join import JOIN_SQL, minhash_groups
 from placetrend.llm.mixing import mix_draws
 from placetrend.llm.neighbours import nearest_neighbours
 from placetrend.llm.pieces import encode_texts
@@ -90,6 +91,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
+@query("op11_minhash_join", JOIN_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(read(spark, sf_dir, "documents"))
+
+
 @query("op12_filter_audit", AUDIT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
