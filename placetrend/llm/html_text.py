@@ -30,13 +30,21 @@ BARE = frozenset(
 )
 CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of a class, id or role that mark what surrounds an article.
+#: Words of a class, id or role that mark what surrounds an article, also inside it.
 MARKS = frozenset(
-    "ad ads adslot adsense advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent "
-    "contentinfo cookie cookies dialog disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification pagination popup promo promoted recommended related replies reply respond search "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe tablist toolbar topbar widget widgets".split()
+    "ad ads adslot adsense advert adverts advertisement breadcrumb breadcrumbs comment comments complementary consent "
+    "contentinfo cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter pagination "
+    "popup promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
+    "subscribe tablist toolbar topbar".split()
 )
+#: Words that do so outside an article; inside, only an element of links or of little text.
+WEAK_MARKS = frozenset("banner dialog form header notice notices notification search widget widgets".split())
+#: Beside one of these in the same name a word tells the layout of a wrapper, or the part of an article.
+NAMES_A_WRAPPER = frozenset("has with without no".split())
+NAMES_CONTENT = frozenset("article content entry headline post story title".split())
+#: Text to tags below which an element holds little text, and the share of linked text from which it is links.
+LITTLE_TEXT = 8
+LINKED = 0.5
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
 
@@ -44,9 +52,19 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 class Element:
     tag: str
     parent: Element | None
-    bare: bool
     article: bool
     link: bool = False
+    strong: bool = False
+    weak: bool = False
+    content: bool = False
+    hidden: bool = False
+    #: Of all that it holds: characters, those in links, tags, an h1 or h2, an article or main.
+    chars: int = 0
+    linked: int = 0
+    tags: int = 0
+    titled: bool = False
+    whole: bool = False
+    gone: bool = False
 
     def up(self) -> Iterator[Element]:
         at: Element | None = self
@@ -68,28 +86,32 @@ class Line:
         return " ".join("".join(self.parts).split())
 
 
-def _marked(attributes: list[tuple[str, str | None]]) -> bool:
+def _marks(attributes: list[tuple[str, str | None]]) -> tuple[bool, bool, bool, bool]:
+    """Whether the attributes mark surroundings strongly, weakly, name content, or hide the element."""
+    strong = weak = content = hidden = False
     for name, value in attributes:
-        if name in ("class", "id", "role") and value and any(w.lower() in MARKS for w in CAMEL.split(value) if w):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if name in ("class", "id", "role") and value:
+            for one in value.split():
+                words = {w.lower() for w in CAMEL.split(one) if w}
+                if words & NAMES_A_WRAPPER:
+                    continue
+                strong = strong or bool(words & MARKS)
+                content = content or bool(words & NAMES_CONTENT)
+                weak = weak or bool(words & WEAK_MARKS) and not words & NAMES_CONTENT
+        hidden = hidden or name == "hidden" or (name == "aria-hidden" and value == "true")
+    return strong, weak, content, hidden
 
 
 class PageLines(HTMLParser):
-    """Turns parser events into lines. Elements left open are closed where their parent ends, and a
-    paragraph where the next block starts."""
+    """Turns parser events into elements and what they hold in page order. Elements left open are closed
+    where their parent ends, and a paragraph where the next block starts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = Element("", None, False, False)
-        self.lines = [Line(self.top)]
-
-    def _break(self) -> None:
-        if self.lines[-1].parts:
-            self.lines.append(Line(self.top))
-        self.lines[-1].within = self.top
+        self.top = Element("", None, False)
+        self.elements = [self.top]
+        #: Of the element on top: its text, the number one for a tag, or None where a block starts or ends.
+        self.events: list[tuple[Element, str | int | None]] = []
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -97,45 +119,96 @@ class PageLines(HTMLParser):
             if tag in ("li", "dt", "dd", "option", "tr"):
                 self._close(tag, CONTAINERS - {"tr"} | {"ul", "ol", "dl", "select"})
         elif tag in ("br", "td", "th"):
-            self.lines[-1].parts.append(" ")
+            self.events.append((self.top, " "))
         if tag not in VOID:
             up = self.top
-            inside = tag == "article" or up.article or tag == "main" or ("role", "main") in attributes
-            bare = up.bare or tag in BARE or (tag == "header" and not up.article)
-            if tag not in ("html", "body", "article", "main"):
-                bare = bare or _marked(attributes)
-            elif tag == "article":
-                bare = bare or (up.article and _marked(attributes))
-            self.top = Element(tag, up, bare, inside, up.link or tag == "a")
-        if tag in BLOCK or self.top.bare != (self.top.parent.bare if self.top.parent else False):
-            self._break()
-        self.lines[-1].tags += 1
+            inside = tag in ("article", "main") or up.article or ("role", "main") in attributes
+            self.top = Element(tag, up, inside, up.link or tag == "a", *_marks(attributes))
+            self.elements.append(self.top)
+        if tag in BLOCK:
+            self.events.append((self.top, None))
+        self.events.append((self.top, 1))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
 
     def handle_endtag(self, tag: str) -> None:
-        self.lines[-1].tags += 1
+        self.events.append((self.top, 1))
         self._close(tag, frozenset(("article", "body")) if tag not in CONTAINERS else frozenset())
 
     def _close(self, tag: str, stop: frozenset[str]) -> None:
         """Leave the innermost open ``tag``, unless an element of ``stop`` stands between."""
+        block = False
         for at in self.top.up():
+            block = block or at.tag in BLOCK
             if at.tag == tag:
-                left = [e for e in self.top.up()]
-                left = left[: left.index(at) + 1]
-                bare = self.top.bare
                 self.top = at.parent or self.top
-                if bare != self.top.bare or any(e.tag in BLOCK for e in left):
-                    self._break()
+                if block:
+                    self.events.append((self.top, None))
                 return
             if at.tag in stop:
                 return
 
     def handle_data(self, data: str) -> None:
-        self.lines[-1].parts.append(data)
-        if self.top.link:
-            self.lines[-1].linked += len(data)
+        self.events.append((self.top, data))
+
+    def lines(self) -> list[Line]:
+        """The lines of what is no surroundings; text that is left out breaks no line."""
+        self._judge()
+        lines = [Line(self.elements[0])]
+        for element, event in self.events:
+            if event is None:
+                if lines[-1].parts:
+                    lines.append(Line(element))
+                lines[-1].within = element
+            elif event == 1:
+                lines[-1].tags += 1
+            elif not element.gone:
+                lines[-1].parts.append(event)
+                lines[-1].linked += len(event) if element.link else 0
+        return lines
+
+    def _judge(self) -> None:
+        """Which elements go, with all they hold. A word alone drops no element that holds the article, or
+        most of a page without one; in an article a weak one needs links or little text to go with it."""
+        for element, event in self.events:
+            if event == 1:
+                element.tags += 1
+            elif event is not None and not any(e.tag in BARE and e.tag != "form" for e in _near(element)):
+                size = len(event.strip())
+                element.chars += size
+                element.linked += size if element.link else 0
+        for e in reversed(self.elements[1:]):
+            up = e.parent
+            up.chars, up.linked, up.tags = up.chars + e.chars, up.linked + e.linked, up.tags + e.tags
+            up.titled = up.titled or e.titled or e.tag in ("h1", "h2")
+            up.whole = up.whole or e.whole or (e.article and not up.article and e.tag not in BARE)
+        page = self.elements[0]
+        for e in self.elements[1:]:
+            within = e.parent.article
+            most = 2 * e.chars > page.chars and (e.titled or 5 * e.chars > 4 * page.chars)
+            holds = e.whole or (not page.whole and most)
+            poor = e.chars < LITTLE_TEXT * e.tags or e.linked >= LINKED * max(e.chars, 1)
+            block = e.tag in BLOCK
+            if e.tag in BARE:
+                own = not (e.tag == "form" and holds)
+            elif e.tag == "header":
+                own = not (e.article or holds or e.content)
+            elif e.tag in ("html", "body", "main") or e.tag in HEADINGS:
+                own = False
+            elif e.tag == "article":
+                own = within and (e.strong or e.weak)
+            else:
+                own = block and not holds and (e.strong and (e.tag != "p" or poor) or e.weak and (not within or poor) and not (within and e.titled))
+            e.gone = e.parent.gone or own or e.hidden
+
+
+def _near(element: Element) -> Iterator[Element]:
+    """The element and those around it up to its block."""
+    for at in element.up():
+        yield at
+        if at.tag in BLOCK:
+            return
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -186,7 +259,7 @@ def main_text(html: str) -> str:
     # in HTML, marked sections are comments up to the next angle bracket
     parser.feed(html.replace("<![", "<! ["))
     parser.close()
-    lines = [line for line in parser.lines if not line.within.bare]
+    lines = parser.lines()
     texts = [line.text() for line in lines]
     lines, texts = [x for x, t in zip(lines, texts, strict=True) if t], [t for t in texts if t]
     region = _region(lines, texts) if texts else None

@@ -68,11 +68,41 @@ def test_headline_lead_and_all_of_main_stay(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><article><h1>T</h1><p>{LONG}</p></article><div class="sidebar"><p>{LONG}</p></div></div>', f"T\n{LONG}"),
+        (f'<div id="page-with-comments"><main><p>{LONG}</p></main><section id="comments"><p>{LONG}</p><p>{LONG}</p></section></div>', LONG),
+        (f'<div class="sidebar-layout"><h1>T</h1><div><p>{LONG}</p></div></div><div class="sidebar"><p>s</p></div>', f"T\n{LONG}"),
+        (f'<article><header class="entry-header"><h1>T</h1><p>lead</p></header><p>{LONG}</p></article>', f"T\nlead\n{LONG}"),
+        (f'<article><div class="post-header"><p>lead</p></div><p>{LONG}</p></article>', f"lead\n{LONG}"),
+        (f'<div class="post"><header class="post-header"><h1>T</h1></header><div><p>{LONG}</p><p>{LONG}</p></div></div>', f"T\n{LONG}\n{LONG}"),
+        (f'<header><h1>Site</h1></header><article><p>{LONG}</p></article>', LONG),
+        (f'<article><p>{LONG}</p><p class="notice">Mind the gap in the table.</p></article>', f"{LONG}\nMind the gap in the table."),
+        (f'<article><section id="widgets"><h2>Widgets</h2><p>{LONG}</p></section><p>b</p></article>', f"Widgets\n{LONG}\nb"),
+        (f'<article><p>{LONG}</p><div class="widget"><a href=x>one</a><a href=y>two</a></div></article>', LONG),
+        ('<article><p>the <span class="social">social</span> question and <em class="ad">ad</em> hoc</p></article>', "the social question and ad hoc"),
+        ("<article><p>one <script>x()</script>two <svg><text>s</text></svg>three<button>b</button> four</p></article>", "one two three four"),
+        ("<article><p>one<style>p{}</style></p><p>two</p></article>", "one\ntwo"),
+        (f'<form action="x"><div class="content"><h1>T</h1><p>{LONG}</p></div><input name=q></form>', f"T\n{LONG}"),
+        (f'<article><p>{LONG}</p><form><p>your name</p><textarea>t</textarea></form></article>', LONG),
+        (f'<article><p>{LONG}</p><div class="comments"><h3>2 replies</h3><p>{LONG}</p><p>{LONG}</p></div></article>', LONG),
+        (f'<div role="main"><h2>T</h2><p>{LONG}</p></div><div class="cookie-notice"><p>{LONG}</p></div>', f"T\n{LONG}"),
+        (f'<div class="notice"><p>We use cookies.</p></div><div><p>{LONG}</p></div>', LONG),
+        (f'<article><p hidden>gone</p><p aria-hidden="true">gone</p><p>{LONG}</p></article>', LONG),
+    ],
+)
+def test_words_of_names_drop_no_article(page, text):
+    assert main_text(page) == text
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (None, None, "<p>a</p>"), (1, "u", None), (2, "v", "")]
     found = extract_text(spark.createDataFrame(rows, "page_id int, url string, html string"))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "u", "", 0), (None, None, "a", 1), (1, "u", "", 0), (2, "v", "", 0)], key=repr)
     assert extract_text(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 9)], "page_id int, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extract_text(clash).collect()] == [(1, "u", "a", 1)]
 
 
 def test_neighbours_recall_and_scores(spark):
