@@ -31,14 +31,16 @@ from placetrend.storage import materialise
 
 SHINGLE_WORDS = 4
 PERCENT = 80
-#: Independent trees. A root has two children for each set, a deeper node one or two, 1.25 on average.
-#: Two sets at a similarity of 0.8 meet in a tree's leaf at depth 1, 2, 3, 4 with a probability of 0.96,
-#: 0.89, 0.82, 0.76, so in none of eight trees with 7e-12, 2e-8, 9e-7, 1e-5.
+#: Independent trees. A set is in two children of every node: of a root by one token each, of a deeper node by
+#: ``STEP`` tokens each, which is as many depths at once. Two sets at a similarity of 0.8 meet in a tree's leaf
+#: at depth 1, 2, 3, 4 with a probability of 0.96, 0.85, 0.75, 0.68, so in none of eight trees with 7e-12, 3e-7,
+#: 1e-5, 1e-4.
 TREES = 8
+STEP = 3
 #: Tokens: each tree's root has two of its own, a deeper node chooses among all others.
 TOKENS = 96
 #: Sets of a node, less its largest group, that are compared with all of it.
-FEW = 16
+FEW = 32
 #: Bits of 128 that may differ. At a similarity of 0.8 one in ten does on average, and more than 36 do
 #: for one pair in 10**9.
 APART = 36
@@ -149,15 +151,16 @@ def _roots(sets: DataFrame) -> DataFrame:
 
 
 def _children(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """``entries`` of nodes that branch, in their children: the node's own hash chooses one place of the
-    tokens, and with one chance in four another."""
+    """``entries`` of nodes that branch, in their children: for each of two, the node's own hash chooses
+    ``STEP`` places of the tokens, and the tokens there name the child."""
     deeper = TOKENS - 2 * TREES
-    first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(deeper))
-    other = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("other")), F.lit(deeper - 1)), F.lit(deeper))
-    chosen = F.when(F.pmod(F.xxhash64("node", F.lit("two")), F.lit(4)) == 0, F.array(first, other)).otherwise(F.array(first))
-    places = entries.withColumn("place", F.explode(chosen)).join(sets.select("key", "tokens"), "key")
-    token = F.element_at("tokens", (F.col("place") + (2 * TREES + 1)).cast("int"))
-    return places.select(F.xxhash64("node", "place", token).alias("node"), "key", "n", "s1", "s2")
+
+    def child(k: int) -> Column:
+        places = [F.pmod(F.xxhash64("node", F.lit(STEP * k + j)), F.lit(deeper)) for j in range(STEP)]
+        return F.xxhash64("node", F.lit(k), *[F.element_at("tokens", (p + (2 * TREES + 1)).cast("int")) for p in places])
+
+    placed = entries.join(sets.select("key", "tokens"), "key")
+    return placed.select(F.explode(F.array(child(0), child(1))).alias("node"), "key", "n", "s1", "s2")
 
 
 def _level(entries: DataFrame, roots: DataFrame | None, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
@@ -190,11 +193,8 @@ def _level(entries: DataFrame, roots: DataFrame | None, percent: int, few: int)
     return materialise(ordered, "join-pairs"), wide.select("node", "key", "n", "s1", "s2")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_column: str, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full sets are similar."""
-    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    wanted = materialise(sets.join(keys, "key", "left_semi").select("key", "t1", "t2"), "join-wanted")
-    full = materialise(_full_sets(docs, text_column, width, wanted), "join-sets")
     a, b = (full.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("u", "v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     similar = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
@@ -206,16 +206,21 @@ def similar_links(
 ) -> DataFrame | None:
     """``node, root`` of the sets of ``sets(key, n, t1, t2, s1, s2, tokens)`` that are linked; None if none are.
 
-    Each depth is written, as are its pairs and links, so a lost executor costs no finished one.
+    Each depth is written, as are its pairs and links, so a lost executor costs no finished one. The full
+    sets of all that the roots leave to compare are made once, in one pass.
     """
     entries, roots = _roots(sets), None
-    links = seen = None
+    links = seen = full = None
     while True:
         pairs, wide = _level(entries, roots, percent, few)
+        if full is None:
+            keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(wide.select("key")).distinct()
+            wanted = materialise(sets.join(keys, "key", "left_semi").select("key", "t1", "t2"), "join-wanted")
+            full = materialise(_full_sets(docs, text_column, width, wanted), "join-sets")
         new = pairs if seen is None else materialise(pairs.join(seen, ["u", "v"], "left_anti"), "join-new")
         if not new.isEmpty():
             seen = new if seen is None else materialise(seen.union(new), "join-seen")
-            found = materialise(_confirmed(new, sets, docs, text_column, width, percent), "join-links")
+            found = materialise(_confirmed(new, full, percent), "join-links")
             if not found.isEmpty():
                 links = found if links is None else materialise(links.union(found), "join-all-links")
                 roots = materialise(components(links, "join-stars"), "join-roots")

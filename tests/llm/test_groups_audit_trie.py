@@ -107,7 +107,7 @@ def test_pairs_of_a_node_are_bounded(spark, monkeypatch):
     original = minhash_join._confirmed
     monkeypatch.setattr(minhash_join, "_confirmed", lambda p, *a: pairs.append(p.count()) or original(p, *a))
     assert minhash_join.minhash_groups(spark.createDataFrame(table, "doc_id int, text string")).where("kept").count() == 1
-    assert sum(pairs) < 400 * 2 * minhash_join.TREES
+    assert sum(pairs) < 400 * minhash_join.FEW
 
 
 def test_minwise_tokens_agree_as_often_as_sets_do():
