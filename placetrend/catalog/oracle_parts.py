@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from placetrend.operators.poisson import MAX_STEPS, STEP_LIMIT, TOLERANCE
+# The check fits both coefficients by damped Newton steps, another way than the engine's; its constants are
+# its own.
+MAX_STEPS, STEP_LIMIT, TOLERANCE = 60, 1.0, 1e-7
 
 
 def filled(src: str, value: str, out: str, last_year: int) -> str:
