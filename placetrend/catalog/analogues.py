@@ -355,6 +355,31 @@ def houses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), ring.alias("ring"))
 
 
+# Diamonds: a small one per customer, and one per region that holds thousands of them. No sum of
+# coordinates of three places comes near their edges.
+DIAMOND_SMALL, DIAMOND_GIANT = 0.70013, 40.00013
+DIAMOND_SQL = f"""diamonds AS (
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) AS name, (c_custkey * 7919 % 150000) / 1000.0 AS cx,
+         (c_custkey * 104729 % 490000) / 1000.0 AS cy, CAST({DIAMOND_SMALL} AS DOUBLE) AS r FROM customer
+  UNION ALL
+  SELECT r_name, 20.0 + 25.0 * r_regionkey, 60.0 + 90.0 * r_regionkey, CAST({DIAMOND_GIANT} AS DOUBLE) FROM region)"""
+DIAMOND_INSIDE_SQL = "abs(x - cx) + abs(y - cy) < r"
+
+
+def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of very unequal size."""
+    k, g = F.col("c_custkey"), F.col("r_regionkey")
+    small = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), _text("c_custkey")).alias("name"), ((k * 7919 % 150000) / 1000.0).alias("cx"),
+        ((k * 104729 % 490000) / 1000.0).alias("cy"), F.lit(DIAMOND_SMALL).alias("r"),
+    )
+    giant = table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("name"), (20.0 + 25.0 * g).alias("cx"), (60.0 + 90.0 * g).alias("cy"), F.lit(DIAMOND_GIANT).alias("r")
+    )
+    cx, cy, r = F.col("cx"), F.col("cy"), F.col("r")
+    return small.unionByName(giant).select("name", _ring((cx - r, cy), (cx, cy + r), (cx + r, cy), (cx, cy - r)).alias("ring"))
+
+
 POINTS_SQL = """points AS (
   SELECT event_id, CAST(user_id % 150 AS DOUBLE) AS x, value AS y FROM events)"""
 

@@ -97,3 +97,13 @@ def point_in_polygon(spark, sf_dir):
 def point_in_polygon_shuffled(spark, sf_dir):
     """The same join as it runs when the polygons are too large to broadcast."""
     return points_in_polygons(an.event_points(spark, sf_dir), an.houses(spark, sf_dir), strategy="merge")
+
+
+@query(
+    "point_in_uneven_polygons",
+    with_ctes(an.POINTS_SQL, an.DIAMOND_SQL)
+    + f" SELECT event_id, x, y, name FROM points LEFT JOIN diamonds ON {an.DIAMOND_INSIDE_SQL}",
+)
+def point_in_uneven_polygons(spark, sf_dir):
+    """Thousands of small polygons among giants: the cells are split where many meet."""
+    return points_in_polygons(an.event_points(spark, sf_dir), an.diamonds(spark, sf_dir))
