@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +12,11 @@ from placetrend.functions.numeric import to_number
 from placetrend.operators.clean import rank_by_score, total_score
 from placetrend.operators.fuse import fuse_stacked, stack_scores
 from placetrend.operators.scale import sign_preserving_stacked
-from placetrend.sources.contract import usable_tables
+from placetrend.sources.contract import lacking_columns, usable_tables
 from placetrend.sources.delimited import read_with_header
+from placetrend.sources.scores import SCORE_COLUMNS, ScoreTables
 from placetrend.storage import settled
 
-SCORE_COLUMNS = ("locality", "trend_score")
-
 
 def read_scores(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
     """Score name -> CSV path. Files without the two score columns are logged and left out."""
@@ -45,11 +44,31 @@ def composite_score(scores: Mapping[str, DataFrame], write_first: bool = True) -
     A locality that an indicator does not know counts as neutral (0) there. Each table must have
     one row per locality, which every score job guarantees.
     """
-    names = fv.COMPOSITE_SCORES
-    lacking = [name for name in names if name not in scores]
+    names = _all_five(scores)
+    return _ranked(normalised_scores({name: scores[name] for name in names}, write_first))
+
+
+def normalised_tables(scores: ScoreTables) -> DataFrame:
+    """``normalised_scores`` of score tables that were read together."""
+    return sign_preserving_stacked(scores.stacked, scores.names)
+
+
+def composite_of_tables(scores: ScoreTables) -> DataFrame:
+    """``composite_score`` of score tables that were read together; tables beside the five are not used."""
+    names = _all_five(scores.names)
+    five = scores.stacked.where(F.col("indicator").isin(*names))
+    return _ranked(sign_preserving_stacked(five, names))
+
+
+def _all_five(names: Iterable[str]) -> Sequence[str]:
+    lacking = lacking_columns(names, fv.COMPOSITE_SCORES)
     if lacking:
         raise ValueError(f"missing score tables: {lacking}")
-    scaled = normalised_scores({name: scores[name] for name in names}, write_first)
+    return fv.COMPOSITE_SCORES
+
+
+def _ranked(scaled: DataFrame) -> DataFrame:
+    names = fv.COMPOSITE_SCORES
     total = total_score(fuse_stacked(scaled, names))
     ranked = rank_by_score(total, "total").withColumnRenamed("locality", "commune")
     return ranked.select("commune", *names, "total")

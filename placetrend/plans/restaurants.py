@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
@@ -15,20 +16,30 @@ from placetrend.operators.poisson import poisson_trend
 from placetrend.operators.spatial import points_in_grid, polygon_grid
 from placetrend.sources.contract import require_columns
 
+log = logging.getLogger(__name__)
+
 COUNT = "num_restaurants"
+SHOWN_FAILURES = 50
 
 
 def restaurant_counts(
-    nodes: DataFrame, polygons: DataFrame, amenity: str = fv.AMENITY, strategy: str | None = None, **grid_options
+    nodes: DataFrame,
+    polygons: DataFrame,
+    amenity: str = fv.AMENITY,
+    strategy: str | None = None,
+    project: Callable[[Column, Column], tuple[Column, Column]] = wgs84_to_lv95,
+    **grid_options,
 ) -> DataFrame:
     """Amenity nodes and (name, ring) polygons in LV95 -> locality, year, num_restaurants.
 
-    Nodes at one place and year are counted first, so that copies of a node are tested once.
+    Nodes at one place and year are counted first, so that copies of a node are tested once. ``project``
+    takes latitude and longitude to the polygons' plane: the approximation is good to a metre, so a node
+    that close to a border may land beyond it; ``wgs84_to_lv95_rigorous`` is good to a centimetre.
     """
     grid = polygon_grid(polygons, **grid_options)
     named = nodes.where(F.col("amenity") == amenity).dropna(subset=["name"])
     places = named.groupBy("year", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
-    east, north = wgs84_to_lv95(F.col("lat"), F.col("lon"))
+    east, north = project(F.col("lat"), F.col("lon"))
     located = places.select("year", "_n", east.alias("x"), north.alias("y"))
     matched = points_in_grid(located, grid, strategy=strategy).withColumnRenamed(grid.name, "locality")
     counts = (
@@ -72,6 +83,15 @@ def restaurant_trend(counts: DataFrame, **options) -> DataFrame:
     return rank_by_score(fitted_trends(counts, **options).drop("fit_status").repartition("locality"))
 
 
+def tell_failures(report: DataFrame, shown: int = SHOWN_FAILURES) -> None:
+    """Logs the series of a written report that have no score, the first of them by name."""
+    failed = report.where(F.col("trend_score").isNull())
+    names = [r.locality for r in failed.select("locality").orderBy("locality").limit(shown).collect()]
+    if names:
+        n, total = failed.count(), report.count()
+        log.warning("%d of %d series have no fit; their scores are missing in the report: %s%s", n, total, names, " ..." if n > len(names) else "")
+
+
 def restaurant_score(counts: DataFrame, **options) -> DataFrame:
     return fitted_trends(counts, **options).select("locality", "trend_score")
 

@@ -2,7 +2,8 @@
 
     spark-submit --py-files placetrend.zip -m placetrend.run third-sector --file F --measure jobs --out O
 
-Results are CSV folders with a header. Sheets and polygon layers are landed parquet.
+Results are CSV folders with a header; a second run replaces them, and one that fails leaves them as they
+are. Sheets and polygon layers are landed parquet. Tables between stages are deleted at the end.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from placetrend import fixed_values as fv
+from placetrend.functions import geo
 from placetrend.operators.clean import rank_by_score
 from placetrend.plans import building, composite, demography, restaurants, third_sector
-from placetrend.sources import delimited, nodes, polygons, sheet
+from placetrend.sources import delimited, nodes, polygons, scores, sheet
+from placetrend.storage import scratch_of_a_job
 
 
 def _demography(spark, a) -> None:
@@ -31,10 +34,13 @@ def _building(spark, a) -> None:
 
 
 def _restaurant_counts(spark, a) -> None:
-    read = nodes.read_node_table if a.node_format == "parquet" else nodes.read_node_xml
-    found = nodes.amenity_nodes(nodes.checked_snapshots(read(spark, a.nodes, a.snapshot_column)))
-    counts = restaurants.restaurant_counts(found, polygons.read_polygons(spark, a.polygons), a.amenity)
-    delimited.write_delimited(counts, a.out)
+    kind = a.node_format or nodes.node_format(spark, a.nodes)
+    read = nodes.read_node_table if kind == "parquet" else nodes.read_node_xml
+    loaded, check = nodes.watched_snapshots(read(spark, a.nodes, a.snapshot_column))
+    layer = polygons.read_polygons(spark, a.polygons)
+    project = geo.wgs84_to_lv95_rigorous if a.rigorous else geo.wgs84_to_lv95
+    counts = restaurants.restaurant_counts(nodes.amenity_nodes(loaded), layer, a.amenity, project=project)
+    delimited.write_delimited(counts, a.out, check=check)
 
 
 def _restaurant_trend(spark, a) -> None:
@@ -45,6 +51,7 @@ def _restaurant_trend(spark, a) -> None:
     if a.scores_only:
         report = report.select("locality", "trend_score")
     delimited.write_delimited(report, a.out)
+    restaurants.tell_failures(delimited.read_with_header(spark, a.out))
 
 
 def _third_sector(spark, a) -> None:
@@ -55,19 +62,20 @@ def _third_sector(spark, a) -> None:
     delimited.write_delimited(ranked, a.out)
 
 
-def _score_paths(a) -> dict[str, str]:
-    return dict(pair.split("=", 1) for pair in a.scores)
+def _scores(spark, a) -> scores.ScoreTables:
+    if a.folder:
+        return scores.read_score_folder(spark, a.folder, exclude=[a.out])
+    return scores.read_score_tables(spark, dict(pair.split("=", 1) for pair in a.scores))
 
 
 def _normalise(spark, a) -> None:
-    scores = composite.read_scores(spark, _score_paths(a))
-    scaled = composite.normalised_scores(scores, write_first=False)
-    scaled.write.option("header", True).partitionBy("indicator").csv(a.out)
+    tables = _scores(spark, a)
+    if tables.names:  # reported otherwise
+        delimited.write_by_partition(composite.normalised_tables(tables), a.out, "indicator")
 
 
 def _final(spark, a) -> None:
-    scores = composite.read_scores(spark, _score_paths(a))
-    delimited.write_delimited(composite.composite_score(scores, write_first=False), a.out)
+    delimited.write_delimited(composite.composite_of_tables(_scores(spark, a)), a.out)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -88,9 +96,10 @@ def parser() -> argparse.ArgumentParser:
     p = job("building", _building, "--sheet")
     p.add_argument("--type", default=fv.BUILDING_TYPE)
     p = job("restaurant-counts", _restaurant_counts, "--nodes", "--polygons")
-    p.add_argument("--node-format", choices=("parquet", "xml"), default="xml")
+    p.add_argument("--node-format", choices=("parquet", "xml"), help="parquet unless the files are named .osm or .xml")
     p.add_argument("--amenity", default=fv.AMENITY)
     p.add_argument("--snapshot-column")
+    p.add_argument("--rigorous", action="store_true", help="project to a centimetre, not to a metre")
     p = job("restaurant-trend", _restaurant_trend, "--counts")
     p.add_argument("--first-year", type=int, default=fv.RESTAURANT_YEAR_MIN)
     p.add_argument("--last-year", type=int, default=fv.RESTAURANT_YEAR_MAX)
@@ -104,13 +113,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prior-weight", type=float, default=fv.PRIOR_WEIGHT)
     for name, run in (("normalise", _normalise), ("final", _final)):
         p = job(name, run)
-        p.add_argument("--scores", nargs="+", required=True, metavar="NAME=PATH")
+        given = p.add_mutually_exclusive_group(required=True)
+        given.add_argument("--scores", nargs="+", metavar="NAME=PATH")
+        given.add_argument("--folder", help="every CSV file or folder in it, by its name")
     return top
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
     a = parser().parse_args(arguments)
-    a.run(SparkSession.builder.appName("placetrend").getOrCreate(), a)
+    spark = SparkSession.builder.appName("placetrend").getOrCreate()
+    with scratch_of_a_job(spark):
+        a.run(spark, a)
 
 
 if __name__ == "__main__":

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 log = logging.getLogger(__name__)
 
 
-def missing_columns(df: DataFrame, needed: Iterable[str]) -> list[str]:
-    have = set(df.columns)
+def lacking_columns(columns: Iterable[str], needed: Iterable[str]) -> list[str]:
+    have = set(columns)
     return [c for c in needed if c not in have]
 
 
+def missing_columns(df: DataFrame, needed: Iterable[str]) -> list[str]:
+    return lacking_columns(df.columns, needed)
+
+
 def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     """The table itself, or ValueError naming what it lacks."""
     lacking = missing_columns(df, needed)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placetrend.storage import replace_partitions, replace_with
+
 SCORE_FILE_SCHEMA = "locality STRING, trend_score STRING"
 COUNT_FILE_SCHEMA = "locality STRING, year INT, num_restaurants BIGINT"
 ESTABLISHMENT_FILE_SCHEMA = (
@@ -55,6 +59,17 @@ def read_with_header(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
-    """CSV with a header; the folder is created and written by all tasks in parallel."""
-    df.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+def write_delimited(
+    df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", check: Callable[[], None] | None = None
+) -> None:
+    """CSV with a header, written by all tasks in parallel; the folder is created or replaced.
+
+    An earlier result stays until the new one is whole, and if the job or ``check`` fails.
+    """
+    writer = df.write.option("header", True).option("sep", sep).option("encoding", encoding)
+    replace_with(df.sparkSession, path, writer.csv, check)
+
+
+def write_by_partition(df: DataFrame, path: str, *partitions: str) -> None:
+    """CSV folders by the values of ``partitions``; those the table has rows for are replaced, others stay."""
+    replace_partitions(df.write.option("header", True).partitionBy(*partitions), path, lambda w, p: w.csv(p))

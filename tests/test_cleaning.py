@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
 from placetrend.functions import numeric, text
-from placetrend.functions.geo import wgs84_to_lv95
+from placetrend.functions.geo import bessel_to_lv95, wgs84_to_lv95, wgs84_to_lv95_rigorous
 from placetrend.operators import clean
-from placetrend.sources import delimited, nodes, sheet
+from placetrend.sources import delimited, nodes, sheet, typed
 from placetrend.sources.contract import require_columns, usable_tables
 from placetrend.storage import scratch_path
 from tests.helpers import frame, table
@@ -260,3 +262,134 @@ def test_snapshots_without_nodes_raise_and_those_without_a_year_are_logged(spark
     with caplog.at_level("WARNING"):
         kept = nodes.amenity_nodes(nodes.checked_snapshots(frame(spark, schema, rows)))
     assert [r.id for r in kept.collect()] == [1] and "1 of 2 nodes" in caplog.text
+
+
+XML = """<?xml version="1.0"?>
+<!-- <node id="99" lat="1" lon="1"/> -->
+<osm>
+  <node id="1" lat="46.5" lon="7.5"/>
+  <node
+     id="2"
+     lat='46.6' lon="7.6">
+    <tag k="amenity" v="restaurant"/>
+    <tag v="A &amp; B &lt;&#233;&#x41;&gt; &quot;x&quot; &apos;y&apos; > z
+ w" k="name"></tag>
+  </node><node id="3" lat="46.7" lon="7.7"></node>
+  <node id="x" lon="7.8"><tag k='amenity' v='bank'/></node>
+  <way id="7"><nd ref="1"/><tag k="amenity" v="parking"/></way>
+  <node id="4" lat="46.8" lon="7.8"><tag k="k" v=""/></node>
+  <relation id="8"><member ref="7"/><tag k="name" v="r"/></relation>
+</osm>
+"""
+
+
+def by_xml_reader(spark, path):
+    """The nodes as the engine's own reader for XML gives them, one task a file."""
+    schema = "_id STRING, _lat DOUBLE, _lon DOUBLE, tag ARRAY<STRUCT<_k: STRING, _v: STRING>>"
+    raw = spark.read.format("xml").option("rowTag", "node").schema(schema).load(path)
+    return raw.selectExpr("try_cast(_id AS BIGINT) AS id", "_lat AS lat", "_lon AS lon", "map_from_entries(tag) AS tags", "_metadata.file_name AS snapshot")
+
+
+def node_rows(df):
+    rows = df.selectExpr("id", "lat", "lon", "sort_array(map_entries(tags)) AS tags", "snapshot").collect()
+    return sorted([(r.id, r.lat, r.lon, None if r.tags is None else [tuple(t) for t in r.tags], r.snapshot) for r in rows], key=repr)
+
+
+def test_node_xml_equals_the_xml_reader(spark, tmp_path):
+    (tmp_path / "land-140101.osm").write_text(XML)
+    (tmp_path / "land-150101.osm").write_text(XML.replace("\n", " "))
+    found = node_rows(nodes.read_node_xml(spark, str(tmp_path)))
+    assert found == node_rows(by_xml_reader(spark, str(tmp_path))) and len(found) == 10
+    assert (2, 46.6, 7.6, [("amenity", "restaurant"), ("name", "A & B <éA> \"x\" 'y' > z  w")], "land-140101.osm") in found
+
+
+@pytest.mark.parametrize("size", [300, 1500])
+def test_one_extract_is_read_by_many_tasks(spark, tmp_path, size):
+    """Splits so small that nodes, tags and comments lie across two or more of them."""
+    rng = random.Random(size)
+    lines = []
+    for k in range(200):
+        tags = "".join(f'{rng.choice(["", chr(10)])}<tag k="k{j}" v="{"é" * rng.randrange(9)}&amp;{k}"/>' for j in range(rng.randrange(4)))
+        lines.append(f'<node id="{k}" lat="46.{k}" lon="7.{k}"' + (f">{tags}</node>" if tags or k % 2 else "/>"))
+        if k % 50 == 0:
+            lines.append('<way id="1"><nd ref="3"/><tag k="name" v="w"/></way>')
+    (tmp_path / "land-140101.osm").write_text("<osm>" + rng.choice(["", "\n"]).join(lines) + "</osm>")
+    path = str(tmp_path / "land-140101.osm")
+    want = node_rows(by_xml_reader(spark, path))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for key, value in zip(keys, (size, 0), strict=True):
+            spark.conf.set(key, value)
+        assert spark.read.option("lineSep", "<").text(path).rdd.getNumPartitions() > 10
+        assert node_rows(nodes.read_node_xml(spark, path)) == want and len(want) == 200
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_the_format_of_nodes_is_parquet_unless_named_otherwise(spark, tmp_path):
+    frame(spark, "id int, snapshot string", [(1, "a")]).write.partitionBy("snapshot").parquet(str(tmp_path / "table"))
+    (tmp_path / "osm" / "snapshot=land-14").mkdir(parents=True)
+    (tmp_path / "osm" / "snapshot=land-14" / "x.osm").write_text(XML)
+    assert nodes.node_format(spark, str(tmp_path / "table")) == "parquet"
+    assert nodes.node_format(spark, str(tmp_path / "osm")) == "xml"
+    assert nodes.node_format(spark, str(tmp_path / "osm" / "snapshot=land-14" / "x.osm")) == "xml"
+
+
+def degrees(d, m, s):
+    return d + m / 60 + s / 3600
+
+
+def test_published_points_are_met_to_a_centimetre(spark):
+    """The projection's centre, and a mountain whose place the survey publishes on the local ellipsoid."""
+    for lat, lon, east, north in (
+        (degrees(46, 57, 8.66), degrees(7, 26, 22.50), 2600000.00, 1200000.00),
+        (degrees(47, 3, 28.95659233), degrees(8, 29, 11.11127154), 2679520.05, 1212273.44),
+    ):
+        e, n = bessel_to_lv95(F.radians(F.lit(lat)), F.radians(F.lit(lon)))
+        assert (one(spark, e), one(spark, n)) == (pytest.approx(east, abs=0.01), pytest.approx(north, abs=0.01))
+    # with the step of the datum; the example's angles are given to a hundredth of a second, a third of a metre
+    e, n = wgs84_to_lv95_rigorous(F.lit(degrees(46, 2, 38.87)), F.lit(degrees(8, 43, 49.79)), F.lit(650.6))
+    assert (one(spark, e), one(spark, n)) == (pytest.approx(2700000.0, abs=0.2), pytest.approx(1100000.0, abs=0.2))
+
+
+def test_both_projections_agree_to_about_a_metre(spark):
+    grid = spark.range(0, 60).selectExpr("45.9 + id % 10 * 0.18 AS lat", "6.1 + floor(id / 10) * 0.8 AS lon")
+    a, b = wgs84_to_lv95(F.col("lat"), F.col("lon")), wgs84_to_lv95_rigorous(F.col("lat"), F.col("lon"))
+    apart = grid.select(F.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2).alias("d")).agg(F.max("d"), F.avg("d")).first()
+    assert 0.05 < apart[0] < 1.5 and apart[1] < 0.7
+    missing = wgs84_to_lv95_rigorous(F.lit(None).cast("double"), F.lit(7.4))
+    assert one(spark, missing[0]) is None
+
+
+MIXED = "whole,number,mixed,day,late,truth,blank,code,text\n" "1,1.5,1,2020-02-29,2020-01-01,true,,007,a\n" "-20,2,x,2021-12-31,2021-13-01,False,,12,\n" ",.5e3,2,,2022-01-01,TRUE,,1,b c\n"
+
+
+def test_types_are_the_narrowest_that_take_every_cell(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(MIXED)
+    df = typed.read_typed(spark, str(tmp_path / "m.csv"))
+    assert dict(df.dtypes) == {
+        "whole": "bigint", "number": "double", "mixed": "string", "day": "date", "late": "string", "truth": "boolean", "blank": "string", "code": "string", "text": "string",
+    }
+    assert [(r.whole, r.number, r.mixed, r.truth, r.blank, r.code, r.text) for r in df.collect()] == [
+        (1, 1.5, "1", True, None, "007", "a"), (-20, 2.0, "x", False, None, "12", None), (None, 500.0, "2", True, None, "1", "b c"),
+    ]
+
+
+def test_a_row_behind_those_looked_at_that_breaks_the_type_raises(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("n,m\n" + "".join(f"{k},{k}\n" for k in range(50)) + "many,50\n")
+    path = str(tmp_path / "t.csv")
+    early = typed.read_typed(spark, path, first_rows=20)
+    assert dict(early.dtypes) == {"n": "bigint", "m": "bigint"}
+    with pytest.raises(PySparkException, match="column n is bigint, but a cell is many"):
+        early.collect()
+    assert early.agg(F.sum("m")).first()[0] == sum(range(51))
+    assert dict(typed.read_typed(spark, path).dtypes) == {"n": "string", "m": "bigint"}
+    assert dict(typed.read_typed(spark, path, declared={"n": "string", "m": "int"}).dtypes) == {"n": "string", "m": "int"}
+
+
+def test_kinds_come_from_one_aggregate(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(MIXED)
+    text = delimited.read_with_header(spark, str(tmp_path / "m.csv"))
+    assert typed.column_kinds(text)["number"] == "double"
+    assert typed.column_kinds(text.limit(0)) == dict.fromkeys(text.columns, "string")
