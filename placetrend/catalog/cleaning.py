@@ -8,7 +8,7 @@ from placetrend import fixed_values as fv
 from placetrend.catalog import analogues as an
 from placetrend.catalog.registry import q6, query, r6, rounded, with_ctes
 from placetrend.functions import numeric, text
-from placetrend.functions.geo import wgs84_to_lv95
+from placetrend.functions.geo import wgs84_to_lv95, wgs84_to_lv95_rigorous
 from placetrend.operators import clean
 from placetrend.operators.panel import with_group_extremes
 from placetrend.operators.trend import first_last
@@ -228,6 +228,33 @@ def reproject_points(spark, sf_dir):
     return an.node_table(spark, sf_dir).select("id", r6(east, 3).alias("east"), r6(north, 3).alias("north"))
 
 
+# By sub-selects, and with the latitude from a closed form instead of rounds.
+RIGOROUS_SQL = """space AS (
+  SELECT id, radians(lat) AS f, radians(lon) AS l, 6378137.0 / sqrt(1 - 0.0066943799901413165 * sin(radians(lat)) ** 2) AS n FROM nodes),
+shifted AS (
+  SELECT id, n * cos(f) * cos(l) - 674.374 AS x, n * cos(f) * sin(l) - 15.056 AS y, n * (1 - 0.0066943799901413165) * sin(f) - 405.346 AS z FROM space),
+axes AS (SELECT 6377397.155 AS a, 0.006674372230614 AS e2, 6377397.155 * sqrt(1 - 0.006674372230614) AS b),
+angles AS (
+  SELECT id, atan2(y, x) AS l, z, sqrt(x * x + y * y) AS p, atan2(z * a, sqrt(x * x + y * y) * b) AS t, a, b, e2 FROM shifted, axes),
+bessel AS (
+  SELECT id, l, atan2(z + e2 / (1 - e2) * b * sin(t) ** 3, p - e2 * a * cos(t) ** 3) AS f, sqrt(e2) AS e FROM angles),
+sphere AS (
+  SELECT id, 2 * (atan(exp(1.000729138430378 * (ln(tan(pi() / 4 + f / 2)) - e / 2 * ln((1 + e * sin(f)) / (1 - e * sin(f)))) + 0.0030667323772733505)) - pi() / 4) AS b,
+         1.000729138430378 * (l - radians(7 + 26 / 60.0 + 22.5 / 3600.0)) AS l, radians(46.90773145790536) AS c FROM bessel),
+plane AS (
+  SELECT id, atan(sin(l) / (sin(c) * tan(b) + cos(c) * cos(l))) AS u, asin(cos(c) * sin(b) - sin(c) * cos(b) * cos(l)) AS v FROM sphere),
+lv95 AS (SELECT id, 2600000.0 + 6378815.903647575 * u AS east, 1200000.0 + 6378815.903647575 * atanh(sin(v)) AS north FROM plane)"""
+
+
+@query(
+    "reproject_points_rigorous",
+    with_ctes(an.NODES_SQL, RIGOROUS_SQL) + f" SELECT id, {q6('east', 2)} AS east, {q6('north', 2)} AS north FROM lv95",
+)
+def reproject_points_rigorous(spark, sf_dir):
+    east, north = wgs84_to_lv95_rigorous(F.col("lat"), F.col("lon"))
+    return an.node_table(spark, sf_dir).select("id", r6(east, 2).alias("east"), r6(north, 2).alias("north"))
+
+
 # --- filters ----------------------------------------------------------------------------------------
 
 

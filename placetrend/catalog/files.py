@@ -9,9 +9,11 @@ from placetrend.catalog import analogues as an
 from placetrend.catalog.registry import query, r6, with_ctes
 from placetrend.functions.numeric import to_number
 from placetrend.functions.text import age_label, year_from_name
+from placetrend.operators import panel
+from placetrend.operators.profile import column_profile
 from placetrend.plans.composite import read_scores
-from placetrend.sources import delimited, nodes, sheet
-from placetrend.storage import scratch_path
+from placetrend.sources import contract, delimited, nodes, scores, sheet, typed
+from placetrend.storage import scratch_path, stored_by_key
 
 
 @query(
@@ -63,6 +65,125 @@ def csv_sink_roundtrip(spark, sf_dir):
     return back.select("locality", r6("trend_score").alias("trend_score"))
 
 
+YEARLY = ("orders_1996", "orders_1997", "orders_1998")
+
+
+@query(
+    "score_folder_scan",
+    with_ctes(an.CUSTOMER_SQL)
+    + " SELECT 'orders_' || CAST(year AS VARCHAR) AS indicator, locality, CAST(value AS DOUBLE) AS trend_score"
+    " FROM customer_panel WHERE year BETWEEN 1996 AND 1998",
+)
+def score_folder_scan(spark, sf_dir):
+    """Score tables of two headers in one folder, beside a table without the columns and one without rows."""
+    folder = scratch_path(spark, "score-folder")
+    counts = an.customer_panel(spark, sf_dir).select("locality", "year", F.col("value").alias("trend_score"))
+    for name in YEARLY:
+        own = counts.where(F.col("year") == int(name[-4:]))
+        columns = ("locality", "trend_score") if name == YEARLY[0] else ("trend_score", "year", "locality")
+        delimited.write_delimited(own.select(*columns), f"{folder}/{name}")
+    delimited.write_delimited(counts.groupBy("year").count(), f"{folder}/by_year")
+    delimited.write_delimited(counts.where("year < 0").select("locality", "trend_score"), f"{folder}/no_rows")
+    return scores.read_score_folder(spark, folder).stacked
+
+
+@query(
+    "csv_sink_replaced",
+    with_ctes(an.CUSTOMER_SQL) + " SELECT locality, max(year) AS last_year, count(*) AS n FROM customer_panel GROUP BY 1",
+)
+def csv_sink_replaced(spark, sf_dir):
+    """A result written over an earlier one that it is itself computed from."""
+    path = scratch_path(spark, "replaced")
+    counts = an.customer_panel(spark, sf_dir)
+    delimited.write_delimited(counts, path)
+    earlier = delimited.read_delimited(spark, path, "locality STRING, year INT, value BIGINT")
+    latest = earlier.groupBy("locality").agg(F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n"))
+    delimited.write_delimited(latest, path)
+    return delimited.read_delimited(spark, path, "locality STRING, last_year INT, n BIGINT")
+
+
+@query(
+    "partitions_replaced",
+    with_ctes(an.CUSTOMER_SQL)
+    + " SELECT locality, value + CASE WHEN year > 1998 THEN 1 ELSE 0 END AS value, year FROM customer_panel",
+)
+def partitions_replaced(spark, sf_dir):
+    """Years that a second run has rows for are replaced, others stay."""
+    path = scratch_path(spark, "partitions")
+    counts = an.customer_panel(spark, sf_dir).select("locality", "value", "year")
+    delimited.write_by_partition(counts, path, "year")
+    delimited.write_by_partition(counts.where("year > 1998").withColumn("value", F.col("value") + 1), path, "year")
+    return spark.read.schema("locality STRING, value BIGINT, year INT").option("header", True).csv(path)
+
+
+@query(
+    "typed_csv_scan",
+    "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value, value >= 100 AS large, event_type AS kind,"
+    " lpad(CAST(user_id AS VARCHAR), 9, '0') AS code FROM events",
+)
+def typed_csv_scan(spark, sf_dir):
+    """A file whose types nobody declared: whole numbers, days, numbers, truth values, text, labels of digits."""
+    path = scratch_path(spark, "untyped")
+    large = F.when(F.col("value") >= 100, "true").otherwise("False")
+    code = F.lpad(F.col("user_id").cast("string"), 9, "0")
+    text = an.table(spark, sf_dir, "events").select(
+        "event_id", F.to_date("ts").alias("day"), "value", large.alias("large"), F.col("event_type").alias("kind"), code.alias("code")
+    )
+    delimited.write_delimited(text, path)
+    read = typed.read_typed(spark, path)
+    return read.withColumn("day", F.date_format("day", "yyyy-MM-dd")).select("event_id", "day", "value", "large", "kind", "code")
+
+
+CONTRACT = {"orders": ("o_custkey", "o_orderdate"), "lineitem": ("l_orderkey", "l_shipdate"), "customer": ("c_custkey", "no_such_column")}
+
+
+@query(
+    "contract_checks",
+    "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
+)
+def contract_checks(spark, sf_dir):
+    """Tables that have their columns are counted; one that lacks a column is logged and left out, and the
+    strict check refuses it."""
+    tables = {name: an.table(spark, sf_dir, name) for name in CONTRACT}
+    met = {}
+    for name, needed in CONTRACT.items():
+        met |= contract.usable_tables({name: tables[name]}, needed)
+    try:
+        contract.require_columns(tables["customer"], CONTRACT["customer"])
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a lacking column was not seen")
+    counts = [contract.require_columns(df, CONTRACT[n]).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, df in met.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query(
+    "column_profile",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate((("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"))))
+    + ") AS c(position, name, kind), (SELECT count(*) AS n_rows FROM events) JOIN (SELECT 0::BIGINT AS n_missing) ON true",
+)
+def profile_of_columns(spark, sf_dir):
+    return column_profile(an.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+
+
+@query(
+    "stored_panel_windows",
+    with_ctes(an.CUSTOMER_SQL)
+    + " SELECT *, CAST(value - lag(value) OVER w AS DOUBLE) / lag(value) OVER w AS growth,"
+    " min(year) OVER (PARTITION BY locality) AS min_year, max(year) OVER (PARTITION BY locality) AS max_year"
+    f" FROM customer_panel QUALIFY max(year) OVER (PARTITION BY locality) >= {an.LAST_YEAR}".replace(
+        " QUALIFY", " WINDOW w AS (PARTITION BY locality ORDER BY year) QUALIFY"
+    ),
+)
+def stored_panel_windows(spark, sf_dir):
+    """Gate, growth and extremes on a panel stored by locality, without an exchange."""
+    stored = stored_by_key(an.customer_panel(spark, sf_dir), "panel", "locality", "year")
+    grown = panel.yoy_growth(panel.with_group_extremes(panel.recency_gate(stored, an.LAST_YEAR)))
+    return grown.select("locality", "year", "value", "growth", "min_year", "max_year")
+
+
 @query(
     "lenient_score_scan",
     "SELECT CAST(event_id AS VARCHAR) AS locality, CASE WHEN event_type <> 'error' THEN value END AS trend_score FROM events",

@@ -68,9 +68,9 @@ def min_rows_gate(
     return _gate(panel, counted.over(_whole(key)), lambda n: n >= min_rows)
 
 
-def min_years_gate(panel: DataFrame, min_years: int, key: str = KEY) -> DataFrame:
-    """Series with at least ``min_years`` distinct years; panel years are distinct already."""
-    return _gate(panel, F.count(F.lit(1)).over(_whole(key)), lambda n: n >= min_years)
+def min_years_gate(panel: DataFrame, min_years: int, key: str = KEY, year: str = YEAR) -> DataFrame:
+    """Series with at least ``min_years`` distinct years, of a panel or of raw rows."""
+    return _gate(panel, F.size(F.collect_set(year).over(_whole(key))), lambda n: n >= min_years)
 
 
 def recency_gate(panel: DataFrame, last_year: int, key: str = KEY, year: str = YEAR) -> DataFrame:
@@ -78,9 +78,17 @@ def recency_gate(panel: DataFrame, last_year: int, key: str = KEY, year: str = Y
     return _gate(panel, F.max(year).over(_whole(key)), lambda y: y >= last_year)
 
 
-def excluded_keys(panel: DataFrame, min_years: int, key: str = KEY) -> DataFrame:
-    """Localities that ``min_years_gate`` drops."""
-    return panel.groupBy(key).agg(F.count(F.lit(1)).alias("n_years")).where(F.col("n_years") < min_years)
+def excluded_keys(panel: DataFrame, min_years: int, key: str = KEY, year: str = YEAR) -> DataFrame:
+    """Localities that ``min_years_gate`` drops, with their distinct years."""
+    counted = panel.groupBy(key).agg(F.count_distinct(year).alias("n_years"))
+    return counted.where(F.col("n_years") < min_years)
+
+
+def _once_a_year(value: Column, key: str, year: str) -> Column:
+    """The value of a row whose year is not that of the row before it in the series."""
+    again = F.lag(year).over(_series(key, year)).eqNullSafe(F.col(year)) & F.col(year).isNotNull()
+    message = F.concat(F.lit(f"a {key} has more than one row of the {year} "), F.col(year).cast("string"))
+    return F.when(again, F.raise_error(message).cast("double")).otherwise(value)
 
 
 # --- windows along a series ---------------------------------------------------------------------
@@ -96,9 +104,11 @@ def with_previous(
 def yoy_growth(
     panel: DataFrame, value: str = VALUE, out: str = "growth", key: str = KEY, year: str = YEAR
 ) -> DataFrame:
-    """Relative growth over the previous row; the first row of a series has none."""
+    """Relative growth over the previous row; the first row of a series has none, and a year on two rows
+    of one series raises: which of them comes first is not known (``to_panel`` merges them)."""
     stepped = with_previous(panel, value, "_previous", key, year)
-    return stepped.withColumn(out, growth_rate(F.col(value), F.col("_previous"))).drop("_previous")
+    growth = growth_rate(F.col(value), F.col("_previous"))
+    return stepped.withColumn(out, _once_a_year(growth, key, year)).drop("_previous")
 
 
 def drop_first_obs(panel: DataFrame, key: str = KEY, year: str = YEAR) -> DataFrame:
@@ -128,7 +138,8 @@ def interpolate_gaps(
 ) -> DataFrame:
     """Fill inner gaps on a straight line by row position; gaps at either end stay.
 
-    Years are not weighted and no row is added. The result is DOUBLE.
+    Years are not weighted and no row is added. The result is DOUBLE. A year on two rows of one series
+    raises, as for growth.
     """
     along = _series(key, year)
     before = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -144,4 +155,4 @@ def interpolate_gaps(
     )
     lo, hi = F.col("_lo"), F.col("_hi")
     line = lo["v"] + ratio((hi["v"] - lo["v"]) * (F.col("_at") - lo["_at"]), hi["_at"] - lo["_at"])
-    return framed.withColumn(value, F.coalesce(number, line)).drop("_at", "_lo", "_hi")
+    return framed.withColumn(value, _once_a_year(F.coalesce(number, line), key, year)).drop("_at", "_lo", "_hi")

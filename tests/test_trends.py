@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from placetrend import fixed_values as fv
 from placetrend.operators import fuse, panel, poisson, profile, scale, trend
 from placetrend.plans import building, composite, demography, restaurants, third_sector
-from tests.helpers import by_key, frame, table
+from placetrend.storage import stored_by_key
+from tests.helpers import by_key, frame, plan_of, table
 
 PANEL = "locality string, year int, value bigint"
 SOME = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -478,6 +481,125 @@ def test_poisson_looks_at_all_years_and_adds_up_repeated_ones(spark):
     assert tuple(twice) == tuple(got)
 
 
+def exact_trend(points):
+    """The trend at the greatest likelihood, by bisection in decimals of sixty digits."""
+    with localcontext() as context:
+        context.prec = 60
+        y = {Decimal(a): Decimal(n) for a, n in points}
+        mean = sum(a * n for a, n in y.items()) / sum(y.values())
+        low, high = Decimal(-200), Decimal(200)
+        for _ in range(190):
+            b = (low + high) / 2
+            top = max(b * a for a in y)
+            weights = {a: (b * a - top).exp() for a in y}
+            if sum(a * w for a, w in weights.items()) / sum(weights.values()) < mean:
+                low = b
+            else:
+                high = b
+        return float(low)
+
+
+EXTREME = dict(
+    late=[(2011, 1), (2012, 0), (2013, 0), (2014, 0), (2015, 10**12)],
+    early=[(2011, 10**13), (2012, 0), (2013, 1)],
+    wide=[(1000, 1), (1500, 7), (2013, 10**9)],
+    steep=[(2011, 1), (2012, 10**6), (2013, 10**12)],
+    middle=[(2011, 0), (2012, 10**9), (2013, 0), (2014, 1)],
+    nearly_flat=[(2011, 10**12), (2012, 10**12 + 1), (2013, 10**12)],
+    two=[(2011, 1), (2012, 10**14)],
+    gaps=[(1900, 3), (1901, 0), (2000, 0), (2001, 5), (2013, 2)],
+    small=[(2011, 0), (2012, 1), (2013, 0), (2014, 0), (2015, 1)],
+)
+
+
+def test_extreme_series_agree_with_a_fit_of_sixty_digits(spark):
+    got = by_key(poisson.poisson_trend(series(spark, **EXTREME)))
+    for name, points in EXTREME.items():
+        assert got[name].fit_status == "ok", name
+        assert got[name].annual_growth_pct_poisson == pytest.approx(math.expm1(exact_trend(points)) * 100, rel=1e-9, abs=1e-11), name
+        assert 0 <= got[name].p_value_year <= 1 and 0 <= got[name].deviance_explained <= 1
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(many=st.lists(st.lists(st.integers(0, 40), min_size=3, max_size=9), min_size=1, max_size=8))
+def test_only_series_without_a_finite_maximum_have_no_fit(spark, many):
+    rows = {f"s{k}": [(2000 + 2 * j, n) for j, n in enumerate(ys)] for k, ys in enumerate(many)}
+    for name, r in by_key(poisson.poisson_trend(series(spark, **rows))).items():
+        ys = [n for _, n in rows[name]]
+        if len(set(ys)) == 1:
+            assert r.fit_status == "constant"
+        elif sum(n > 0 for n in ys) == 1 and (ys[0] or ys[-1]):
+            assert (r.fit_status, r.trend_score) == ("not_converged", None)
+        else:
+            assert r.fit_status == "ok"
+            assert math.log1p(r.annual_growth_pct_poisson / 100) == pytest.approx(exact_trend(rows[name]), rel=1e-8, abs=1e-10)
+
+
+@pytest.mark.parametrize("at_once", [3, 100_000])
+@pytest.mark.parametrize("kind", ["ties", "spread", "one", "hot", "two"])
+def test_quantiles_equal_those_of_one_buffer(spark, kind, at_once):
+    rng = np.random.default_rng(3)
+    values = {
+        "ties": rng.integers(-3, 4, 3000).astype(float), "spread": rng.normal(0, 100, 2500), "one": np.array([-7.5]),
+        "hot": np.concatenate([np.zeros(2000), rng.normal(0, 1e-3, 500), [1e9, -1e9]]), "two": np.array([-1.0, 4.0]),
+    }[kind]
+    df = frame(spark, "v double", [(float(v),) for v in values] + [(None,)])
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).first().q
+    assert profile.exact_quantiles(df, "v", shares, at_once) == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_a_range_that_is_sorted_holds_few_values(spark, monkeypatch):
+    sizes = []
+    original = profile._ranked
+    monkeypatch.setattr(profile, "_ranked", lambda v, rank: sizes.append(v.count()) or original(v, rank))
+    df = spark.range(200_000).select((F.xxhash64("id") % 1_000_000_007).cast("double").alias("v"))
+    want = df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first().q
+    assert profile.exact_quantiles(df, "v", (0.25, 0.5, 0.75), at_once=500) == pytest.approx(want)
+    assert len(sizes) == 3 and max(sizes) <= 500
+    empty = df.where("v IS NULL")
+    assert profile.describe_score(empty, "v").first().q50 is None
+
+
+def test_gates_count_years_of_raw_rows_and_windows_refuse_them(spark):
+    rows = [("a", 2001, 1), ("a", 2001, 2), ("a", 2002, 3), ("b", 2001, 1), ("b", 2002, 1), ("b", 2003, 1)]
+    raw = frame(spark, PANEL, rows)
+    assert {r.locality for r in panel.min_years_gate(raw, 3).collect()} == {"b"}
+    assert table(panel.excluded_keys(raw, 3)) == [("a", 2)]
+    for windowed in (panel.yoy_growth, panel.interpolate_gaps):
+        with pytest.raises(Exception, match="more than one row of the year 2001"):
+            windowed(raw).collect()
+        assert windowed(panel.to_panel(raw)).count() == 5
+
+
+def exchanges_of(df) -> int:
+    df.collect()  # the adaptive plan that ran
+    return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single)", plan_of(df)))
+
+
+def test_stored_panels_need_no_exchange(spark):
+    rows = spark.range(4000).select((F.col("id") % 400).cast("string").alias("locality"), (2000 + F.floor(F.col("id") / 400)).cast("int").alias("year"), (F.col("id") * 7 % 91).cast("double").alias("value"))
+
+    def chain(df):
+        kept = panel.recency_gate(panel.min_years_gate(panel.interpolate_gaps(df), 3), 2005)
+        return panel.with_group_extremes(panel.drop_first_obs(panel.yoy_growth(kept)))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = stored_by_key(panel.to_panel(rows), "panel", "locality", "year", buckets=4)
+        assert exchanges_of(chain(stored)) == 0 and exchanges_of(chain(panel.to_panel(rows))) > 0
+        assert table(chain(stored)) == table(chain(panel.to_panel(rows)))
+        scores = {n: rows.groupBy("locality").agg(F.sum(F.col("value") * k).alias("trend_score")) for k, n in enumerate("abc", 1)}
+        kept = {n: stored_by_key(df, f"score-{n}", "locality", buckets=4) for n, df in scores.items()}
+        two = kept["a"].join(kept["b"].withColumnRenamed("trend_score", "b"), "locality", "full")
+        assert exchanges_of(two) == 0
+        sums = [df.groupBy("locality").agg(F.sum("trend_score").alias("s")) for df in kept.values()]
+        assert [exchanges_of(s) for s in sums] == [0, 0, 0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_series_of_too_many_years_raises(spark):
     rows = frame(spark, PANEL, [("a", y, 1) for y in range(poisson.MOST_YEARS + 1)])
     with pytest.raises(Exception, match="more than"):
