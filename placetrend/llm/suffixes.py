@@ -267,9 +267,10 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     fields = ("low", "high", "left", "right", "k1", "k2", "start")
     each = (
         _within(gather_bits(mixed, "w1", FILTER_BITS), "w1", nodes)
-        .join(mixed, ["w1", "w2"])
+        # combined by all four names first: what very many texts have in common is one row when it is joined
         .groupBy("w1", "w2", "v1", "v2")
         .agg(F.count("*").alias("n"), *(F.first(f).alias(f) for f in fields))
+        .join(mixed, ["w1", "w2"])
         .withColumn("i", F.explode(F.sequence("low", "high")))
         .withColumn("i", F.col("i").cast("int"))
         .select(
