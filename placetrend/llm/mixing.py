@@ -191,15 +191,20 @@ def _chosen(lots: Column, room: Column) -> Column:
 
 
 def sized_rows(docs: DataFrame, id_column: str, source_column: str, text_column: str, seed: int) -> DataFrame:
-    """``doc_id, source, size, lot``: the lot is the row's place in a seeded permutation."""
+    """``doc_id, source, size, lot``: the lot is the row's place in a seeded permutation of ids and texts."""
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         word_count(F.col(text_column)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_column)).alias("lot"),
+        lot(id_column, text_column, seed),
     )
 
 
+def lot(id_column: str, text_column: str, seed: int) -> Column:
+    """Rows of one id, or without one, part by their texts, so that they are not drawn all or none."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")).alias("lot")
+
+
 def mixing_plan(sized: DataFrame, shards: int, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per source: its target, how often all of it is taken, which blocks, cells and lots are
     taken once more, and how its blocks are dealt to the output shards.
@@ -264,10 +269,10 @@ def mix_draws(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, lot, source_size, target, draws``.
 
-    A text's size is its words; a null text has none. A null source is a source of its own. Rows of
-    one id are drawn together, as are those without one. Sources without words have the target 0 and
-    are not drawn; a table without rows gives none. The draws depend on the ids and ``seed`` alone, so
-    reruns agree. No row is drawn more than ``CAP`` times. Other columns are not read, and no
+    A text's size is its words; a null text has none. A null source is a source of its own. Rows of one
+    id and text are drawn together, others apart, also those without an id. Sources without words have
+    the target 0 and are not drawn; a table without rows gives none. The draws depend on ids, texts and
+    ``seed`` alone, so reruns agree. No row is drawn more than ``CAP`` times. Other columns are not read, and no
     document is shuffled.
     """
     sized = materialise(sized_rows(docs, id_column, source_column, text_column, seed), "mix-sizes")
@@ -286,8 +291,8 @@ def mixture(
     rows = docs.select(
         *(F.col(f"`{c}`").alias(own[c]) for c in docs.columns),
         F.col(f"`{source_column}`").cast("string").alias("source"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_column}`")).alias("lot"),
+        lot(id_column, text_column, seed),
     )
     drawn = with_draws(rows, plan, seed).select(*own.values(), F.inline("draws"))
-    dealt = drawn.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    dealt = drawn.repartitionById(shards, "shard").sortWithinPartitions("place")
     return dealt.select(*(F.col(own[c]).alias(c) for c in docs.columns))

@@ -77,13 +77,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix_draws(read(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.size("draws")).alias("taken")
-    return drawn.select("doc_id", "size", "source_size", "target", taken)
+    places = (F.col(f"draws.{x}").alias(f"{x}s") for x in ("shard", "place"))
+    return drawn.select("doc_id", "size", "source_size", "target", taken, *places)
 
 
 @query("op5_licenses")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.col("doc_id").cast("string"))
+    return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", (F.col("doc_id") % 7).cast("string"), name)))
 
 
 @query("op9_neighbours")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -150,6 +151,9 @@ def test_quality_classifier_on_held_out_labels(spark):
     right, total = judged.agg(F.sum((F.col("kept") == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
     assert right / total > 0.95
     assert quality.train(docs, labels.where("quality = 1")) is None
+    first = labels.where("quality = 1").first().doc_id
+    often = docs.where(F.col("doc_id") == first).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(400)))).withColumn("text", F.concat("text", F.lit(" "), "k")).drop("k")
+    assert len(quality.labelled_sample(docs.union(often), labels, "doc_id", "text", "quality", 50)) == 50
     assert quality.train(docs, labels.limit(0)) is None
 
 
@@ -281,6 +285,28 @@ def test_mixing_targets_and_draws(spark, case):
     assert mixing.mixture(df).count() == sum(len(r.draws) for r in drawn)
 
 
+def test_rows_without_an_id_are_drawn_apart(spark):
+    """A third of a source has no id, another third one id: its target is still met."""
+    rng = random.Random(21)
+    table = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, sentence(rng, rng.randint(1, 30)), "a" if k % 5 else "b") for k in range(3000)]
+    drawn = mixing.mix_draws(spark.createDataFrame(table, "doc_id int, text string, source string")).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in drawn:
+        taken[r.source] += r["size"] * len(r.draws)
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
+def test_a_shard_is_one_task(spark):
+    docs = spark.createDataFrame([(k, "word " * (1 + k % 50)) for k in range(2000)], "doc_id int, text string").withColumn("source", F.lit("s"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mixing, "SHARD_WORDS", 4000)
+        patch.setattr(mixing, "BLOCK_WORDS", 100)
+        sizes = mixing.mixture(docs).groupBy(F.spark_partition_id().alias("p")).agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert len(sizes) == 16 and max(r.n for r in sizes) < 1.5 * min(r.n for r in sizes)
+
+
 def test_splitting_tree_keeps_quotas_and_halves_blocks(spark):
     quotas = [(1, 1000), (2, 0), (3, 37), (4, 1)]
     ends = {r["rank"]: r.ends for r in mixing.shard_quotas(spark.createDataFrame(quotas, "rank int, quota bigint"), 8).collect()}
@@ -310,6 +336,79 @@ def test_licenses(spark):
     }
 
 
+STATEMENTS = [
+    ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MIT", "Copyright (c) 2021 Acme Corp. Licensed under the MIT License."), ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
+    ("Apache-2.0", "Copyright 2019 Someone LLC. Licensed under the Apache License, Version 2.0."), ("MIT", "This file is licensed under the MIT License, see LICENSE for details."),
+    ("GPL-3.0", "License: GPL-3.0"), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("Apache-2.0", "Apache License\n   Version 2.0, January 2004"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or later"),
+    ("LGPL-2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0, licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without permission."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Released under CC0 1.0."), (None, "we had a license to print money"), (None, "mit der Version 2.0"), (None, "general public, version 3"), (None, "the MPL and the GPL"),
+]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("of the and to under mit license version a public work is 2 4 general der work software terms copy use".split()) if rng.random() < 0.3 else sentence(rng, 1) for _ in range(n))
+
+
+def plain_licenses(table, threshold=0.8):
+    """Best template and cosine of each text, window by window."""
+    texts = [licenses.terms_of(t or "") for _, _, t in table]
+    df = Counter(t for x in texts for t in set(x))
+    idf = {t: math.log((1 + len(table)) / (1 + n)) + 1 for t, n in df.items()}
+    out = []
+    for terms in texts:
+        best = (0.0, 0, None)
+        for k, template in enumerate(licenses.TEMPLATES):
+            own = licenses.terms_of(template.text)
+            of = lambda t: idf.get(t, math.log(1 + len(table)) + 1)
+            anchor = max(sorted(set(own)), key=of)
+            vector = {t: own.count(t) * of(t) for t in own}
+            for i, t in enumerate(terms):
+                for place in (p for p, x in enumerate(own) if x == anchor and t == anchor):
+                    a, b = max(i - place, 0), i - place + len(own)
+                    window, near = terms[a:b], terms[max(i - place - licenses.AROUND, 0) : b + licenses.AROUND]
+                    if len(window) >= licenses.COVERED * len(own) and set(template.needed) <= set(window) and not set(template.barred) & set(near):
+                        w = {x: window.count(x) * idf[x] for x in window}
+                        dot = sum(w[x] * vector.get(x, 0) for x in w)
+                        cosine = round(dot / math.sqrt(sum(v * v for v in w.values())) / math.sqrt(sum(v * v for v in vector.values())), 9)
+                        best = max(best, (cosine, -k, template.name))
+        out.append((best[2], best[0]) if best[0] >= threshold else (None, None))
+    return out
+
+
+def test_each_license_and_its_variants_equal_plain_cosines(spark):
+    rng = random.Random(31)
+    texts = [t for _, t in STATEMENTS] + [f"{prose(rng, 60)} {t} {prose(rng, 60)}" for _, t in STATEMENTS if _] + [prose(rng, 200) for _ in range(40)]
+    texts += ["", None, texts[0], "License: " + "MIT " * 3, "Licensed under the Apache", "Licensed under the strange and wonderful Apache License, Version 2.0"]
+    table = [(k, f"d{k}/f.txt", t) for k, t in enumerate(texts)]
+    found = {r.doc_id: (r.license, r.score) for r in licenses.license_scan(spark.createDataFrame(table, "doc_id int, path string, text string")).collect()}
+    want = plain_licenses(table)
+    assert [found[k][0] for k in range(len(STATEMENTS))] == [name for name, _ in STATEMENTS]
+    for k, (name, score) in enumerate(want):
+        assert found[k] == (name, None if score is None else pytest.approx(score, abs=1e-6)), texts[k]
+
+
+def test_only_named_files_give_their_license_on(spark):
+    mit, gpl = "Released under the MIT License.", "License: GPL-3.0"
+    table = [
+        (1, "p/a.py", mit), (2, "p/b.py", "code"), (3, "q/COPYING", gpl), (4, "q/r/s/x.c", "code"), (5, "q/LICENSE.md", "no licence at all"), (6, None, mit), (7, "top.txt", "code"),
+        (8, "t/LICENSE", mit), (9, "t/licence-old", gpl), (10, "t/y", "code"), (11, "q/r/s/x.c", "code"), (12, "qq/z", "code"),
+    ]
+    found = {r.doc_id: (r.license, r.basis) for r in licenses.license_scan(spark.createDataFrame(table, "doc_id int, path string, text string")).collect()}
+    assert found == {
+        1: ("MIT", "notice"), 2: (None, None), 3: ("GPL-3.0", "notice"), 4: ("GPL-3.0", "inherited"), 5: ("GPL-3.0", "inherited"), 6: ("MIT", "notice"), 7: (None, None),
+        8: ("MIT", "notice"), 9: ("GPL-3.0", "notice"), 10: ("GPL-3.0", "inherited"), 11: ("GPL-3.0", "inherited"), 12: (None, None),
+    }
+
+
 @pytest.mark.parametrize("name", ["simhash", "tokens", "pieces", "quality", "suffix", "chunk", "draws", "mixture", "one", "license"])
 def test_empty_tables(spark, name):
     df = empty(spark)
