@@ -158,7 +158,7 @@ def run_ends(spans: DataFrame) -> DataFrame:
     A window holds the repeated chunks of one text; equal rows of a document count once."""
     place = Window.partitionBy("k1", "k2").orderBy("start")
     upto = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
-    opens = spans.withColumn("opens", (F.col("start") > F.coalesce(upto, F.lit(-1))).cast("int"))
+    opens = spans.distinct().withColumn("opens", (F.col("start") > F.coalesce(upto, F.lit(-1))).cast("int"))
     chunk = F.struct("d1", "d2", "first")
     runs = (
         opens.withColumn("run", F.sum("opens").over(place.rowsBetween(Window.unboundedPreceding, 0)))
@@ -207,7 +207,8 @@ def surroundings(docs: DataFrame, ends: DataFrame, id_column: str = "doc_id", te
     met = texts.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     own = met.join(wanted, ["d1", "d2", "side"]).where(F.col("doc_id").eqNullSafe(F.col("first")))
     one = own.groupBy("d1", "d2", "side").agg(F.min(F.struct("f1", "f2", "at", "bytes")).alias("one"))
-    return one.select("d1", "d2", "side", "one.*")
+    # written, so that the join with all ends, of which a very common passage has many, can be split
+    return materialise(one.select("d1", "d2", "side", "one.*"), "run-end-places")
 
 
 def _alike(left: bytes, right: bytes) -> int:

@@ -132,7 +132,7 @@ def fit_router(points: np.ndarray, parts: int, degree: int = GRAPH_DEGREE, epoch
 
 
 def usable_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``vec_id, vector`` of the vectors that take part: one per id, as doubles."""
+    """``vec_id, vector`` of the vectors that take part, as doubles; equal rows once."""
     vector = F.col("vector")
     picked = table.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
     sound = picked.where(
@@ -140,8 +140,7 @@ def usable_vectors(table: DataFrame, id_column: str, vector_column: str) -> Data
         & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists(vector, lambda x: x != 0)
     )
-    one = sound.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    return one
+    return sound.distinct()
 
 
 def _points(table: pa.Table, column: str = "vector") -> np.ndarray:
@@ -150,27 +149,35 @@ def _points(table: pa.Table, column: str = "vector") -> np.ndarray:
 
 
 def _top(queries: pa.Table, candidates: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its ``k`` nearest candidates of another id: query rows, candidate rows, distances.
+    """For each query the candidates of its ``k`` nearest other ids: query rows, candidate rows, distances.
 
     Products pick those that may be among them, with all that lie as near as rounding can tell; their
     distances are then taken from the differences in double precision."""
     q, c = _points(queries), _points(candidates)
     q_id, c_id = queries.column("query_id").to_numpy(), candidates.column("vec_id").to_numpy()
+    by_id = np.argsort(c_id, kind="stable")
+    c, c_id = c[by_id], c_id[by_id]
+    heads = np.flatnonzero(np.concatenate(([True], c_id[1:] != c_id[:-1])))
     norms, rows, found, scores = (c**2).sum(axis=1), [], [], []
     for a in range(0, len(q), 256):
         block = q[a : a + 256]
         near = norms[None, :] + (block**2).sum(axis=1)[:, None] - 2 * block @ c.T
         near[q_id[a : a + 256, None] == c_id[None, :]] = np.inf
-        kth = np.partition(near, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+        ids = near if len(heads) == len(c) else np.minimum.reduceat(near, heads, axis=1)
+        kth = np.partition(ids, min(k, len(heads)) - 1, axis=1)[:, min(k, len(heads)) - 1]
         tolerance = 1e-9 * (norms.max() + (block**2).sum(axis=1))
         at, who = np.nonzero((near <= (kth + tolerance)[:, None]) & np.isfinite(near))
         exact = np.sqrt(((block[at] - c[who]) ** 2).sum(axis=1))
         order = np.lexsort((c_id[who], exact, at))
         at, who, exact = at[order], who[order], exact[order]
+        if len(heads) < len(c):
+            _, nearest = np.unique(np.stack((at, c_id[who])), axis=1, return_index=True)
+            nearest.sort()  # rows are in order of distance, so the first of an id is its nearest
+            at, who, exact = at[nearest], who[nearest], exact[nearest]
         first = np.searchsorted(at, at)
         keep = np.arange(len(at)) - first < k
         rows.append(at[keep] + a)
-        found.append(who[keep])
+        found.append(by_id[who[keep]])
         scores.append(exact[keep])
     return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
 
@@ -187,8 +194,8 @@ def nearest_neighbours(
     ``k`` others. Distances are Euclidean, in double precision on the vectors as given.
 
     Vectors that are null, zero, empty or hold a null or non-finite component take no part, nor do
-    null ids; rows of one id count once, with the least vector, and vectors of another length than
-    most are left out. Of equal vectors the ``k + 1`` smallest ids are indexed, as no others can be
+    null ids; vectors of another length than most are left out. An id with several vectors is near by
+    the nearest of them, as a candidate and as a query. Of equal vectors the ``k + 1`` smallest ids are indexed, as no others can be
     among the nearest, so a very common vector stays small. Parts and queries are compared in slices
     of bounded size. Other columns are not read; an empty table gives none.
     """
@@ -240,8 +247,8 @@ def nearest_neighbours(
         asked[r["part"]] = r["count"]
     slices = F.array(*[F.lit(int(-(-n // CANDIDATE_ROWS)) or 1) for n in held])[F.col("part")]
     groups = F.array(*[F.lit(int(-(-n // QUERY_ROWS)) or 1) for n in asked])[F.col("part")]
-    left = routed.withColumn("grp", F.pmod(F.xxhash64("query_id"), groups).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    right = index.withColumn("slice", F.pmod(F.xxhash64("vec_id"), slices).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), groups - 1)))
+    left = routed.withColumn("grp", F.pmod(F.xxhash64("query_id", "vector"), groups).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    right = index.withColumn("slice", F.pmod(F.xxhash64("vec_id", "vector"), slices).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), groups - 1)))
 
     def compare(asking: pa.Table, candidates: pa.Table) -> pa.Table:
         if not asking.num_rows or not candidates.num_rows:
@@ -252,6 +259,8 @@ def nearest_neighbours(
 
     keys = ("part", "slice", "grp")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
+    # an id with several vectors, as query or candidate, counts by the two that are nearest
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    ranked = once.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

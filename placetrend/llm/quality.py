@@ -262,12 +262,13 @@ def labelled_sample(
         texts.join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "good", "text")
         .mapInArrow(run, f"doc_id {kind}, good int, buckets binary, shares binary")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("buckets", "shares", "good")).alias("one"))
+        .select("doc_id", "one.*")
         .toArrow()
     )
-    rows: dict = {}
-    for r in sorted(zip(*(c.to_pylist() for c in found.columns), strict=True), key=lambda r: (r[0], r[2])):
-        rows.setdefault(r[0], (r[1], np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<f4")))
-    return list(rows.values())
+    rows = sorted(found.to_pylist(), key=lambda r: r["doc_id"])
+    return [(r["good"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in rows]
 
 
 def train(

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -14,6 +15,7 @@ from placetrend.llm.html_text import extract_text, main_text
 from placetrend.llm.neighbours import nearest_neighbours
 from placetrend.llm.queries import ORACLE, QUERIES
 from tests.helpers import plan_of
+from tests.llm.fixtures import awkward
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -139,6 +141,42 @@ def test_awkward_vectors(spark):
     assert nearest_neighbours(df.limit(0)).count() == 0 and nearest_neighbours(df.where("vec_id = 400")).count() == 0
 
 
+def test_an_id_with_several_vectors_is_near_by_the_nearest(spark):
+    """A third of all rows has one id, which is a query and a candidate; two ids have vectors far apart."""
+    rng = np.random.default_rng(1)
+    rows = [(7, [50.0, 1.0]), (7, [0.0, 1.0]), (100, [50.0, 1.0]), (200, [0.0, 1.1])]
+    rows += [(k, rng.normal(size=2).tolist()) for k in range(300, 400)] + [(500, rng.normal(10, 5, size=2).tolist()) for _ in range(50)]
+    found = nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q in (100, 200, 300, 500):
+        far = {}
+        for a in points[ids == q]:
+            for i, d in zip(ids, np.sqrt(((points - a) ** 2).sum(axis=1)), strict=True):
+                if i != q:
+                    far[int(i)] = min(far.get(int(i), np.inf), d)
+        want = sorted((d, i) for i, d in far.items())[:10]
+        got = sorted((r["rank"], r.score, r.vec_id) for r in found if r.query_id == q)
+        assert [i for _, _, i in got] == [i for _, i in want] and [s for _, s, _ in got] == pytest.approx([d for d, _ in want])
+    assert {r.query_id for r in found} == {100, 200, 300, 500}
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Null and repeated ids, clashing names, no usable label: each stage keeps the columns and loses no good row."""
+    df, rows = awkward(spark)
+    docs = df.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("lang", F.lit("xx"))
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "read", lambda *a: labels)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF_DIR)
+            assert out.dtypes == docs.dtypes, name
+            kept = out.collect()
+            held = {(r.doc_id, r.source) for r in docs.collect()}
+            assert kept and {(r.doc_id, r.source) for r in kept} <= held, name
+            docs = spark.createDataFrame(kept, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
@@ -166,7 +204,7 @@ def test_pipeline_stages(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
