@@ -9,15 +9,18 @@ children enough for them to survive; several independent trees make it unlikely
 * A node with few sets, or whose sets but a few are in one group already, is compared exhaustively:
   those few with all. A pair is dropped by its sizes, or if 128 bits, one of each of as many further
   minwise hashes, differ in more than ``APART`` places.
-* Any other node links each of its sets that is similar to its least set, and branches. So a large group
-  of near copies soon is one group but for a few, and is never paired with itself.
-* Every link is confirmed by the intersection of the full sets before it counts.
+* Any other node links each of its sets that is similar to the set of its smallest id, and branches. So a large group
+  of near copies is one group, but for a few, after the roots, and is never paired with itself.
+* Every link is confirmed by the intersection of the full sets before it counts. For this the sets of the
+  pairs found in a node meet in blocks of bounded size.
 
 Equal sets are one, and copies never meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,8 +42,12 @@ TREES = 8
 STEP = 3
 #: Tokens: each tree's root has two of its own, a deeper node chooses among all others.
 TOKENS = 96
+#: Depths after which the links found there are confirmed and the groups made anew.
+REFRESH = 4
 #: Sets of a node, less its largest group, that are compared with all of it.
 FEW = 32
+#: Sets that meet in a block, some ``FEW`` beside them, to be compared in full.
+BLOCK_SETS = 64
 #: Bits of 128 that may differ. At a similarity of 0.8 one in ten does on average, and more than 36 do
 #: for one pair in 10**9.
 APART = 36
@@ -85,9 +92,9 @@ def minwise(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """For every row: ``doc_id, n`` shingles, ``key`` of the set, ``t1, t2`` of the text, its sketch
+    """For every row: ``doc_id, n`` shingles, ``key`` of the set, ``t1`` of the text, its sketch
     ``s1, s2`` and ``tokens``. The key of an empty set is null, as are its sketch and tokens."""
-    names = ["doc_id", "n", "key", "t1", "t2", "s1", "s2", "tokens"]
+    names = ["doc_id", "n", "key", "t1", "s1", "s2", "tokens"]
     known = {}  # a copy right after its like is not read again
 
     def describe(data: bytes, digest: bytes):
@@ -106,35 +113,40 @@ def shingled(docs: DataFrame, id_column: str, text_column: str, width: int) -> D
             n, key, s1, s2, tokens = zip(*found, strict=True) if found else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lanes[:, 0]), pa.array(lanes[:, 1]),
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(lanes[:, 0]),
                     pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.list_(pa.int32())),
                 ], names,
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n bigint, key binary, t1 bigint, t2 bigint, s1 bigint, s2 bigint, tokens array<int>")
+    return texts.mapInArrow(run, f"doc_id {kind}, n bigint, key binary, t1 bigint, s1 bigint, s2 bigint, tokens array<int>")
 
 
-def _full_sets(docs: DataFrame, text_column: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``key, shingles`` of the sets of ``wanted(key, t1, t2)``; only their texts are read for words."""
+def _full_sets(docs: DataFrame, id_column: str, text_column: str, width: int, wanted: DataFrame) -> DataFrame:
+    """``key, shingles`` of the sets of ``wanted(key, mark)``; only their own rows are read for words, which
+    a mark of id and text tells. A repeated row may give its set more than once, from different tasks."""
     n = wanted.count()
-    bitmap = gather_bits(wanted, "t1", min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS))
+    bitmap = gather_bits(wanted, "mark", min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS))
 
     def run(batches):
+        sent: set[bytes] = set()
         for batch in small(batches, 256):
-            texts = as_bytes(batch.column(0))
+            texts = as_bytes(batch.column(1))
             lanes = text_key([], texts)
-            chosen = {lanes[k].tobytes(): k for k in np.flatnonzero(in_bitmap(bitmap, lanes[:, 0].copy())).tolist()}
-            at = np.array(list(chosen.values()), np.int64)
-            sets = [shingle_set(texts[k], width).view(np.int64) for k in at.tolist()]
-            arrays = [pa.array(lanes[at, 0]), pa.array(lanes[at, 1]), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["t1", "t2", "shingles"])
+            met = np.flatnonzero(in_bitmap(bitmap, batch.column(0).to_numpy() ^ lanes[:, 0]))
+            keys, sets = [], []
+            for k in met.tolist():
+                digest = lanes[k].tobytes()
+                if digest not in sent:
+                    sent.add(digest)
+                    hashes = shingle_set(texts[k], width)
+                    keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sets.append(hashes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
-    sets = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "t1 bigint, t2 bigint, shingles array<bigint>")
-    # a copy's set is the same, so those of one task leave it once
-    once = sets.groupBy("t1", "t2").agg(F.first("shingles").alias("shingles"))
-    return once.join(wanted, ["t1", "t2"]).select("key", "shingles")
+    texts = docs.select(F.xxhash64(F.col(id_column)).alias("hash"), F.col(text_column).alias("text"))
+    return texts.mapInArrow(run, "key binary, shingles array<bigint>")
 
 
 def _compatible(a: str, b: str, percent: int) -> Column:
@@ -144,89 +156,126 @@ def _compatible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= APART)
 
 
+#: What a node knows of a set: its key and smallest id, its size and sketch.
+SET = ("key", "least", "n", "s1", "s2")
+
+
 def _roots(sets: DataFrame) -> DataFrame:
-    """Each set in the children of every tree's root: ``node, key, n, s1, s2``."""
+    """Each set in the children of every tree's root: ``node, key, least, n, s1, s2``."""
     child = [F.xxhash64(F.lit(k // 2), F.lit(k), F.element_at("tokens", k + 1)) for k in range(2 * TREES)]
-    return sets.select(F.explode(F.array(*child)).alias("node"), "key", "n", "s1", "s2")
+    return sets.select(F.explode(F.array(*child)).alias("node"), *SET)
 
 
-def _children(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _children(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     """``entries`` of nodes that branch, in their children: for each of two, the node's own hash chooses
-    ``STEP`` places of the tokens, and the tokens there name the child."""
+    ``STEP`` places of ``tokens(key, root, tokens)``, and the tokens there name the child."""
     deeper = TOKENS - 2 * TREES
 
     def child(k: int) -> Column:
         places = [F.pmod(F.xxhash64("node", F.lit(STEP * k + j)), F.lit(deeper)) for j in range(STEP)]
         return F.xxhash64("node", F.lit(k), *[F.element_at("tokens", (p + (2 * TREES + 1)).cast("int")) for p in places])
 
-    placed = entries.join(sets.select("key", "tokens"), "key")
-    return placed.select(F.explode(F.array(child(0), child(1))).alias("node"), "key", "n", "s1", "s2")
-
+    placed = entries.select("node", *SET).join(tokens, "key")
+    return placed.select(F.explode(F.array(child(0), child(1))).alias("node"), *SET, "root")
 
-def _level(entries: DataFrame, roots: DataFrame | None, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to confirm, and the entries of nodes that branch, of one depth of all trees.
 
-    A node is left alone if it has one set or one group; ``roots(node, root)`` are the groups so far.
-    """
-    shared = materialise(entries.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "join-nodes")
-    met = entries.join(shared.select("node"), "node")
-    if roots is None:
-        met = met.withColumn("root", F.col("key"))
-    else:
-        named = roots.select(F.col("node").alias("key"), "root")
-        met = met.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    met = materialise(met, "join-entries")
-    groups = met.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct("key", "n", "s1", "s2", "root")).alias("hub"))
+def _compared(entries: DataFrame, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to confirm, and the entries of nodes that branch, of ``entries(node, root)`` and ``SET``, all at
+    one depth of all trees. A node is left alone if it has one set, or sets of one group, ``root``, only."""
+    groups = entries.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct("least", "key", "n", "s1", "s2", "root")).alias("hub"))
     nodes = groups.groupBy("node").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.min("hub").alias("hub"))
     nodes = nodes.where("size > most.n")
-    nodes = materialise(nodes.select("node", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("rest"), "hub"), "join-state")
+    nodes = nodes.select("node", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("rest"), "hub")
+    nodes = materialise(nodes, "join-nodes")
 
-    near = met.join(nodes.where(F.col("rest") <= few).select("node", "main"), "node")
+    near = entries.join(nodes.where(F.col("rest") <= few).select("node", "main", "size"), "node")
     # pairs within the rest come twice, so only one way is taken
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.key") < F.col("b.key"))
     apart = (F.col("a.node") == F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & once & _compatible("a", "b", percent)
-    across = near.where("root <> main").alias("a").join(near.alias("b"), apart).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
-    wide = materialise(met.join(nodes.where(F.col("rest") > few).select("node", "hub"), "node"), "join-branching")
+    across = near.where("root <> main").alias("a").join(near.alias("b"), apart)
+    across = across.select(F.col("a.key").alias("u"), F.col("b.key").alias("v"), _block("b").alias("block"))
+    wide = materialise(entries.join(nodes.where(F.col("rest") > few).select("node", "hub", "size"), "node"), "join-branching")
     hubs = wide.alias("a").where((F.col("a.root") != F.col("hub.root")) & _compatible("a", "hub", percent))
-    pairs = across.union(hubs.select(F.col("hub.key").alias("u"), F.col("a.key").alias("v")))
-    ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return materialise(ordered, "join-pairs"), wide.select("node", "key", "n", "s1", "s2")
+    pairs = across.union(hubs.select(F.col("hub.key").alias("u"), F.col("a.key").alias("v"), _block("a").alias("block")))
+    ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "block")
+    return materialise(_each_once(ordered), "join-pairs"), wide
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets are similar."""
-    a, b = (full.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("u", "v"))
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    similar = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
-    return pairs.join(a, "u").join(b, "v").where(similar).select("u", "v")
+def _block(side: str) -> Column:
+    """Of a pair found in a node, one of as many blocks as keep the sets that meet there few."""
+    blocks = F.ceil(F.col(f"{side}.size") / BLOCK_SETS)
+    return F.xxhash64(F.col(f"{side}.node"), F.pmod(F.xxhash64(F.col(f"{side}.key")), blocks))
+
+
+def _each_once(pairs: DataFrame) -> DataFrame:
+    """Every pair in one of the blocks that have it."""
+    return pairs.groupBy("u", "v").agg(F.min("block").alias("block"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v, block)`` whose full sets are similar, ``u, v``.
+
+    A set is sent once to each block that has a pair of it, however many pairs that are, and a block has
+    bounded numbers of sets, so nothing gathers. Sets are sent by a join that can be split.
+    """
+    members = pairs.select("block", F.col("u").alias("key")).union(pairs.select("block", "v")).distinct()
+    members = materialise(members, "join-members")
+    keys = members.select("key").distinct()
+    wanted = materialise(sets.join(keys, "key", "left_semi").select("key", F.col("t1").bitwiseXOR(F.col("hash")).alias("mark")), "join-wanted")
+    full = materialise(_full_sets(docs, id_column, text_column, width, wanted), "join-sets")
+    sent = members.join(full, "key")
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        shingles = dict(zip(held.column("key").to_pylist(), (x.values.to_numpy() for x in held.column("shingles")), strict=True))
+        us, vs = [], []
+        for u, v in zip(asked.column("u").to_pylist(), asked.column("v").to_pylist(), strict=True):
+            a, b = shingles.get(u), shingles.get(v)
+            if a is not None and b is not None:
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    us.append(u)
+                    vs.append(v)
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return pairs.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(compare, "u binary, v binary")
 
 
 def similar_links(
-    sets: DataFrame, docs: DataFrame, text_column: str, width: int = SHINGLE_WORDS, percent: int = PERCENT, few: int = FEW
+    sets: DataFrame, docs: DataFrame, id_column: str, text_column: str, width: int = SHINGLE_WORDS, percent: int = PERCENT, few: int = FEW
 ) -> DataFrame | None:
-    """``node, root`` of the sets of ``sets(key, n, t1, t2, s1, s2, tokens)`` that are linked; None if none are.
+    """``node, root`` of the sets of ``sets(key, least, n, t1, hash, s1, s2, tokens)`` that are linked; None if
+    none are. ``t1`` and ``hash`` tell a row of ``docs`` that has the set, by its text and id.
 
-    Each depth is written, as are its pairs and links, so a lost executor costs no finished one. The full
-    sets of all that the roots leave to compare are made once, in one pass.
+    The links of the roots' children make the groups that deeper nodes are judged by; those found deeper are
+    confirmed together, every ``REFRESH`` depths and at the end. Every depth is written, so a lost executor
+    costs no finished one.
     """
-    entries, roots = _roots(sets), None
-    links = seen = full = None
+    tops = _roots(sets)
+    shared = materialise(tops.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node"), "join-shared")
+    entries = materialise(tops.join(shared, "node").withColumn("root", F.col("key")), "join-entries")
+    pairs, wide = _compared(entries, percent, few)
+    asked = wide.select("key").distinct()
+    how = (sets, docs, id_column, text_column, width, percent)
+    links, roots = materialise(_confirmed(pairs, *how), "join-links"), None
+    tokens = materialise(sets.select("key", "tokens").join(asked, "key", "left_semi"), "join-tokens")
+    depth, found = 0, []
     while True:
-        pairs, wide = _level(entries, roots, percent, few)
-        if full is None:
-            keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).union(wide.select("key")).distinct()
-            wanted = materialise(sets.join(keys, "key", "left_semi").select("key", "t1", "t2"), "join-wanted")
-            full = materialise(_full_sets(docs, text_column, width, wanted), "join-sets")
-        new = pairs if seen is None else materialise(pairs.join(seen, ["u", "v"], "left_anti"), "join-new")
-        if not new.isEmpty():
-            seen = new if seen is None else materialise(seen.union(new), "join-seen")
-            found = materialise(_confirmed(new, full, percent), "join-links")
-            if not found.isEmpty():
-                links = found if links is None else materialise(links.union(found), "join-all-links")
-                roots = materialise(components(links, "join-stars"), "join-roots")
-        if wide.isEmpty():
+        last = wide.isEmpty()
+        if found and (last or depth % REFRESH == 0):
+            new = materialise(_each_once(reduce(DataFrame.union, found)), "join-pairs")
+            links, found = materialise(links.union(_confirmed(new, *how)), "join-links"), []
+        if last or depth % REFRESH == 0:
+            roots = None if links.isEmpty() else materialise(components(links, "join-stars"), "join-roots")
+        if last:
             return roots
-        entries = materialise(_children(wide, sets), "join-children")
+        if depth % REFRESH == 0:
+            named = tokens if roots is None else tokens.join(roots.withColumnRenamed("node", "key"), "key", "left")
+            root = F.col("key") if roots is None else F.coalesce("root", "key")
+            rooted = materialise(named.select("key", root.alias("root"), "tokens"), "join-rooted")
+        entries = materialise(_children(wide, rooted), "join-entries")
+        pairs, wide = _compared(entries, percent, few)
+        found.append(pairs)
+        depth += 1
 
 
 def minhash_groups(
@@ -251,11 +300,12 @@ def minhash_groups(
     """
     rows = materialise(shingled(docs, id_column, text_column, width), "join-rows")
     sets = rows.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t"),
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("doc_id", "t1")).alias("row"),
         F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("tokens").alias("tokens"),
     )
-    sets = materialise(sets.select("key", "least", "n", "t.t1", "t.t2", "s1", "s2", "tokens"), "join-distinct")
-    roots = similar_links(sets, docs, text_column, width, percent, few)
+    sets = sets.select("key", "least", "n", "row.t1", F.xxhash64("row.doc_id").alias("hash"), "s1", "s2", "tokens")
+    sets = materialise(sets, "join-distinct")
+    roots = similar_links(sets, docs, id_column, text_column, width, percent, few)
     named = sets.select("key", "least")
     if roots is not None:
         linked = named.join(roots, named["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
