@@ -56,9 +56,9 @@ def strict_cast(spark, sf_dir):
     )
     return as_text.withColumns(
         {
-            "code": F.col("code").cast("tinyint"),
-            "year": F.col("year").cast("int"),
-            "quantity": F.col("quantity").cast("bigint"),
+            "code": numeric.strict(F.col("code"), "tinyint"),
+            "year": numeric.strict(F.col("year"), "int"),
+            "quantity": numeric.strict(F.col("quantity"), "bigint"),
         }
     )
 

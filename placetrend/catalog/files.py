@@ -46,6 +46,7 @@ def multi_file_scan(spark, sf_dir):
     path = scratch_path(spark, "many")
     counts = an.customer_panel(spark, sf_dir).withColumnRenamed("value", "num_restaurants")
     delimited.write_delimited(counts.repartition(4, "locality"), path)
+    counts.write.mode("append").json(path)  # files of another kind in the same folder are no input
     read = delimited.read_delimited(
         spark, path, delimited.COUNT_FILE_SCHEMA, glob="*.csv", source_column="source"
     )

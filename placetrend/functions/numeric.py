@@ -31,6 +31,13 @@ def to_number(text: Column) -> Column:
     return F.when(~F.isnan(value) & ~text.rlike(r"[0-9.][dDfF]\s*$"), value)
 
 
+def strict(cell: Column, to: str) -> Column:
+    """The cell as another type; one that does not fit raises, whether or not the session's casts do."""
+    value = cell.try_cast(to)
+    wrong = F.raise_error(F.concat(F.lit(f"[CAST_INVALID_INPUT] not a {to}: "), cell.cast("string"))).cast(to)
+    return F.when(cell.isNotNull() & value.isNull(), wrong).otherwise(value)
+
+
 def null_safe_sum(columns: Iterable[Column]) -> Column:
     """Row-wise sum that counts NULL as 0; an empty family sums to 0."""
     return reduce(add, [F.coalesce(c.cast("bigint"), F.lit(0)) for c in columns], F.lit(0).cast("bigint"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
+from placetrend.functions.numeric import strict
 
 
 def strip_dotted_code(label: Column) -> Column:
@@ -32,7 +33,7 @@ def sentinel_to_null(
     cell: Column, sentinels: Sequence[str] = fv.SUPPRESSION_SENTINELS, to: str = "bigint"
 ) -> Column:
     """Suppressed cells become NULL, the rest is cast strictly (junk raises)."""
-    return F.when(~cell.isin(*sentinels), cell).cast(to)
+    return strict(F.when(~cell.isin(*sentinels), cell), to)
 
 
 def map_labels(label: Column, codes: Mapping[str, int] = fv.SECTOR_CODES) -> Column:
@@ -42,7 +43,7 @@ def map_labels(label: Column, codes: Mapping[str, int] = fv.SECTOR_CODES) -> Col
         hit = label == text
         value = F.lit(code).cast("tinyint")
         mapped = F.when(hit, value) if mapped is None else mapped.when(hit, value)
-    return mapped.otherwise(label.cast("tinyint"))
+    return mapped.otherwise(strict(label, "tinyint"))
 
 
 def year_from_name(name: Column) -> Column:

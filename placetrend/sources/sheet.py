@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placetrend import fixed_values as fv
+from placetrend.functions.numeric import strict
 from placetrend.functions.text import is_year_cell
 
 FILL_BLOCK_ROWS = 1 << 16
@@ -77,7 +78,7 @@ def tidy_sheet(
     body = grid.where(F.col("row_idx") > header_row).withColumn("_year", F.when(is_year_cell(year), year))
     label = F.get(cell, F.lit(locality_cell))
     measures = [
-        F.get(cell, F.lit(first_measure + i)).cast("bigint").alias(n) for i, n in enumerate(names)
+        strict(F.get(cell, F.lit(first_measure + i)), "bigint").alias(n) for i, n in enumerate(names)
     ]
     return (
         fill_down(body, "_year", block_rows=block_rows)
@@ -97,7 +98,7 @@ def promote_year_header(
     cell = F.col("cells")
     return grid.where(F.col("row_idx") > header_row).select(
         *[F.get(cell, F.lit(i)).alias(name) for i, name in enumerate(ids)],
-        *[F.get(cell, F.lit(first_year + i)).cast("bigint").alias(y) for i, y in enumerate(years)],
+        *[strict(F.get(cell, F.lit(first_year + i)), "bigint").alias(y) for i, y in enumerate(years)],
     )
 
 

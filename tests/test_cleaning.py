@@ -393,3 +393,19 @@ def test_kinds_come_from_one_aggregate(spark, tmp_path):
     text = delimited.read_with_header(spark, str(tmp_path / "m.csv"))
     assert typed.column_kinds(text)["number"] == "double"
     assert typed.column_kinds(text.limit(0)) == dict.fromkeys(text.columns, "string")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_strict_casts_do_not_rest_on_the_session(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert [one(spark, numeric.strict(F.lit(x), "bigint")) for x in ("12", " 7 ", "-3", None)] == [12, 7, -3, None]
+        for column in (
+            numeric.strict(F.lit("12.5"), "bigint"), numeric.strict(F.lit("300"), "tinyint"), text.sentinel_to_null(F.lit("x")), text.map_labels(F.lit("Secteur zero")),
+        ):
+            with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):
+                one(spark, column)
+        assert one(spark, text.sentinel_to_null(F.lit("X"))) is None
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
