@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -212,3 +215,19 @@ def test_registered_queries():
 def test_native_operators_run_no_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("lacking", ["public_tokenizers", "xxhash", "placetrend.llm", "corpus_pipeline"])
+def test_the_other_queries_need_nothing_of_this_part(lacking):
+    code = f"""
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == {lacking!r} or name.startswith({lacking!r} + "."):
+            raise ModuleNotFoundError("No module named " + repr(name), name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as entry
+names = entry.queries()
+assert "composite_score" in names and not any(n.startswith("op1") for n in names) and set(entry.oracle_sql()) <= set(names)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
