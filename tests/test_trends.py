@@ -520,7 +520,7 @@ def test_extreme_series_agree_with_a_fit_of_sixty_digits(spark):
         assert 0 <= got[name].p_value_year <= 1 and 0 <= got[name].deviance_explained <= 1
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(many=st.lists(st.lists(st.integers(0, 40), min_size=3, max_size=9), min_size=1, max_size=8))
 def test_only_series_without_a_finite_maximum_have_no_fit(spark, many):
     rows = {f"s{k}": [(2000 + 2 * j, n) for j, n in enumerate(ys)] for k, ys in enumerate(many)}
