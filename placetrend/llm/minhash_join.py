@@ -43,7 +43,7 @@ STEP = 3
 #: Tokens: each tree's root has two of its own, a deeper node chooses among all others.
 TOKENS = 96
 #: Depths after which the links found there are confirmed and the groups made anew.
-REFRESH = 4
+REFRESH = 8
 #: Sets of a node, less its largest group, that are compared with all of it.
 FEW = 32
 #: Sets that meet in a block, some ``FEW`` beside them, to be compared in full.
@@ -157,7 +157,7 @@ def _compatible(a: str, b: str, percent: int) -> Column:
 
 
 #: What a node knows of a set: its key and smallest id, its size and sketch.
-SET = ("key", "least", "n", "s1", "s2")
+SET = ("least", "key", "n", "s1", "s2")
 
 
 def _roots(sets: DataFrame) -> DataFrame:
@@ -179,15 +179,26 @@ def _children(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     return placed.select(F.explode(F.array(child(0), child(1))).alias("node"), *SET, "root")
 
 
-def _compared(entries: DataFrame, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to confirm, and the entries of nodes that branch, of ``entries(node, root)`` and ``SET``, all at
-    one depth of all trees. A node is left alone if it has one set, or sets of one group, ``root``, only."""
-    groups = entries.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct("least", "key", "n", "s1", "s2", "root")).alias("hub"))
+def _top_nodes(tops: DataFrame) -> DataFrame:
+    """The nodes of the first depth, where every set is a group of its own; as ``_nodes`` has them."""
+    hub = F.min(F.struct(*SET, "root")).alias("hub")
+    nodes = tops.groupBy("node").agg(F.count("*").alias("size"), F.max("key").alias("main"), hub).where("size > 1")
+    return materialise(nodes.select("node", "size", "main", (F.col("size") - 1).alias("rest"), "hub"), "join-nodes")
+
+
+def _nodes(entries: DataFrame) -> DataFrame:
+    """``node, size, main, rest, hub``: sets, the largest group, sets beside it, and the set of the smallest id.
+    A node of one set, or of sets of one group, ``root``, is left alone."""
+    groups = entries.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct(*SET, "root")).alias("hub"))
     nodes = groups.groupBy("node").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.min("hub").alias("hub"))
     nodes = nodes.where("size > most.n")
     nodes = nodes.select("node", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("rest"), "hub")
-    nodes = materialise(nodes, "join-nodes")
+    return materialise(nodes, "join-nodes")
 
+
+def _compared(entries: DataFrame, nodes: DataFrame, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to confirm, and the entries of nodes that branch, of ``entries(node, root)`` and ``SET``, all at
+    one depth of all trees."""
     near = entries.join(nodes.where(F.col("rest") <= few).select("node", "main", "size"), "node")
     # pairs within the rest come twice, so only one way is taken
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.key") < F.col("b.key"))
@@ -198,7 +209,7 @@ def _compared(entries: DataFrame, percent: int, few: int) -> tuple[DataFrame, Da
     hubs = wide.alias("a").where((F.col("a.root") != F.col("hub.root")) & _compatible("a", "hub", percent))
     pairs = across.union(hubs.select(F.col("hub.key").alias("u"), F.col("a.key").alias("v"), _block("a").alias("block")))
     ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "block")
-    return materialise(_each_once(ordered), "join-pairs"), wide
+    return ordered, wide
 
 
 def _block(side: str) -> Column:
@@ -250,10 +261,9 @@ def similar_links(
     confirmed together, every ``REFRESH`` depths and at the end. Every depth is written, so a lost executor
     costs no finished one.
     """
-    tops = _roots(sets)
-    shared = materialise(tops.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node"), "join-shared")
-    entries = materialise(tops.join(shared, "node").withColumn("root", F.col("key")), "join-entries")
-    pairs, wide = _compared(entries, percent, few)
+    tops = _roots(sets).withColumn("root", F.col("key"))
+    pairs, wide = _compared(tops, _top_nodes(tops), percent, few)
+    pairs = materialise(_each_once(pairs), "join-pairs")
     asked = wide.select("key").distinct()
     how = (sets, docs, id_column, text_column, width, percent)
     links, roots = materialise(_confirmed(pairs, *how), "join-links"), None
@@ -273,7 +283,7 @@ def similar_links(
             root = F.col("key") if roots is None else F.coalesce("root", "key")
             rooted = materialise(named.select("key", root.alias("root"), "tokens"), "join-rooted")
         entries = materialise(_children(wide, rooted), "join-entries")
-        pairs, wide = _compared(entries, percent, few)
+        pairs, wide = _compared(entries, _nodes(entries), percent, few)
         found.append(pairs)
         depth += 1
 
