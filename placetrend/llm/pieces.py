@@ -18,9 +18,9 @@ MARK = "▁"
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Short stretches, in each of two generations, whose ids a worker keeps; those not met again while a
 #: generation fills are worked out anew.
-KEPT_STRETCHES = 1 << 19
+KEPT_STRETCHES = 1 << 17
 #: Pairs of pieces whose answer a worker keeps.
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 1 << 19
 
 
 class PieceModel:
