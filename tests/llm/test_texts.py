@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -123,6 +124,13 @@ def test_pieces_equal_the_library_and_round_trip(spark, case):
     assert listed(back, "doc_id", "text") == sorted([(i, t or "") for i, t, _ in table if "▁" not in (t or "")], key=repr)
 
 
+def test_a_worker_keeps_few_stretches_of_many():
+    model = pieces.PieceModel(PIECES)
+    for start in range(0, 300_000, 1000):
+        model.encode(" ".join(f"{k:x}" for k in range(start, start + 1000)))
+    assert len(model.stretches) + len(model.older) <= 1 << 18
+
+
 def plain_base(text):
     words = WORDS.findall(text or "")
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -179,6 +187,21 @@ def test_suffix_dedup(spark, case):
     assert listed(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
 
 
+def test_suffixes_name_only_what_a_step_asks_for(monkeypatch):
+    rng, made, join = np.random.default_rng(3), [], suffixes._join
+    data = rng.integers(97, 99, 1500, np.uint8).tobytes() * 2
+    monkeypatch.setattr(suffixes, "_join", lambda a, b, lane: made.append(len(a)) or join(a, b, lane))
+    nodes = suffixes.Nodes([(0, 0, data)], 400)
+    assert sum(made) <= 3 * len(data)  # the anchors need one lane, at one depth
+    at = np.arange(len(data) - 399)
+    for length in (385, 400):
+        names = {}
+        for p, *name in zip(at.tolist(), *nodes.suffixes.names([at], [length])[0], strict=True):
+            assert names.setdefault(data[p : p + length], name) == name
+        assert len({tuple(x) for x in names.values()}) == len(names)
+    assert all((a == b).all() for a, b in zip(nodes.all_names(), nodes.shared_names(), strict=False))
+
+
 def test_suffix_parts_of_a_long_text_overlap(spark, monkeypatch, rows):
     monkeypatch.setattr(suffixes, "PART", 700)
     table = [(i, t[:5000] if t else t) for i, t, _ in rows[1]]
