@@ -25,9 +25,10 @@ CELLS_PER_POLYGON = (CELLS_ACROSS + 1) ** 2
 MOST_POLYGONS = 32
 MOST_EDGES = 512
 #: Halvings of a cell in one round, and the share of its polygons' mean edge that a cell never falls below.
-#: Polygons that lie on each other cannot be told apart by any split.
+#: Polygons that lie on each other cannot be told apart by any split; where many overlap, a point in a cell of
+#: about their size is in a good part of those that meet there, while finer cells multiply each polygon's pieces.
 MOST_HALVINGS = 4
-FINEST = 1 / 8
+FINEST = 1 / 2
 BOX = ("x_min", "x_max", "y_min", "y_max", "grain")
 
 
@@ -101,11 +102,17 @@ def _needed(tiled: DataFrame, cell: float, name: str) -> DataFrame:
     )
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has: its rows are about to be multiplied, and few files or rows
+    would leave that to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_into_cells(shapes: DataFrame, cell: float, name: str = "name") -> DataFrame:
     """One row per polygon and touched cell, with the edges that matter inside the cell."""
     step = F.lit(cell)
     tiled = (
-        shapes.withColumn("_cx", _cells(F.col("x_min") / step, F.col("x_max") / step))
+        _dealt(shapes).withColumn("_cx", _cells(F.col("x_min") / step, F.col("x_max") / step))
         .withColumn("_cy", _cells(F.col("y_min") / step, F.col("y_max") / step))
         .withColumns({"_cl": F.lit(0), "_in": F.lit(False)})
     )
@@ -137,7 +144,7 @@ def split_cells(pieces: DataFrame, crowded: DataFrame, cell: float, name: str =
         end = F.when(F.col("_in"), last).otherwise(F.least(last, own_last))
         return F.explode(F.sequence(begin, end))
 
-    opened = pieces.join(crowded, keys)
+    opened = _dealt(pieces.join(crowded, keys))
     children = (
         opened.withColumn("_x", span("_cx", "x_min", "x_max"))
         .withColumn("_y", span("_cy", "y_min", "y_max"))

@@ -139,6 +139,16 @@ def test_polygons_that_lie_on_each_other_end_the_splits(spark):
     assert got.where("name IS NOT NULL").count() == 200 and got.count() == 202
 
 
+def test_polygons_that_overlap_densely_have_few_pieces_each(spark):
+    rng = random.Random(9)
+    rings = []
+    for _ in range(1000):
+        cx, cy = rng.uniform(0, 7), rng.uniform(0, 7)
+        rings.append([(cx - 0.7, cy), (cx, cy + 0.7), (cx + 0.7, cy), (cx, cy - 0.7)])
+    layer = frame(spark, POLYGON, [(f"d{k}", ring) for k, ring in enumerate(rings)])
+    assert spatial.polygon_grid(layer).cells.count() < 24 * len(rings)
+
+
 def test_covered_cells_hold_no_edges(spark):
     grid = spatial.polygon_grid(frame(spark, POLYGON, [("big", [(0.0, 0.0), (64.0, 0.0), (64.0, 64.0), (0.0, 64.0)])]), cell=2.0)
     assert grid.cells.where("_in").count() >= 900
