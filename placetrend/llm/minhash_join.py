@@ -166,6 +166,18 @@ def _roots(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode(F.array(*child)).alias("node"), *SET)
 
 
+def _met(tops: DataFrame, n: int) -> DataFrame:
+    """The ``tops`` whose node another set may be in; the nodes of ``n`` sets are counted by their names alone."""
+    again = tops.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    bitmap = gather_bits(again, "node", min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS))
+
+    def run(batches):
+        for batch in small(batches, 8192):
+            yield batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy())))
+
+    return materialise(tops.mapInArrow(run, tops.schema), "join-tops")
+
+
 def _children(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     """``entries`` of nodes that branch, in their children: for each of two, the node's own hash chooses
     ``STEP`` places of ``tokens(key, root, tokens)``, and the tokens there name the child."""
@@ -261,7 +273,7 @@ def similar_links(
     confirmed together, every ``REFRESH`` depths and at the end. Every depth is written, so a lost executor
     costs no finished one.
     """
-    tops = _roots(sets).withColumn("root", F.col("key"))
+    tops = _met(_roots(sets), sets.count()).withColumn("root", F.col("key"))
     pairs, wide = _compared(tops, _top_nodes(tops), percent, few)
     pairs = materialise(_each_once(pairs), "join-pairs")
     asked = wide.select("key").distinct()

@@ -110,6 +110,16 @@ def test_pairs_of_a_node_are_bounded(spark, monkeypatch):
     assert sum(pairs) < 400 * minhash_join.FEW
 
 
+def test_sets_that_meet_no_other_in_a_tree_are_not_sent_to_its_root(spark, monkeypatch):
+    rng = random.Random(9)
+    table = [(k, sentence(rng, 60)) for k in range(100)]
+    sent = []
+    original = minhash_join._top_nodes
+    monkeypatch.setattr(minhash_join, "_top_nodes", lambda t: sent.append(t.count()) or original(t))
+    assert minhash_join.minhash_groups(spark.createDataFrame(table, "doc_id int, text string")).where("kept").count() == 100
+    assert sum(sent) < 2 * minhash_join.TREES * 10  # all were sent to all before
+
+
 def test_minwise_tokens_agree_as_often_as_sets_do():
     rng = random.Random(7)
     words = sentence(rng, 4000).split()
