@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,13 +17,36 @@ from placetrend.llm.shared import small
 MARK = "▁"
 #: Marks, then other characters: no piece but a run of marks has a mark behind its first character.
 STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Short stretches, in each of two generations, whose ids a worker keeps; those not met again while a
-#: generation fills are worked out anew.
+#: Where the first mark of a run stands.
+FIRST_MARK = re.compile(f"(?<!{MARK}){MARK}")
+#: Characters of a text whose stretches are listed at once.
+PART_CHARS = 1 << 16
+#: Short stretches and units of them, in each of two generations, whose ids a worker keeps; those not met
+#: again while a generation fills are worked out anew.
 KEPT_STRETCHES = 1 << 17
 #: Pairs of pieces whose answer a worker keeps.
 KEPT_PAIRS = 1 << 19
 
 
+class Kept(dict):
+    """Ids of strings, by ``code`` where they are missing, which may add them."""
+
+    def __init__(self, code: Callable[[str], bytes]):
+        self.code = code
+
+    def __missing__(self, text: str) -> bytes:
+        return self.code(text)
+
+
+def _parts_of(marked: str) -> Iterator[str]:
+    """``marked`` in parts of about ``PART_CHARS`` characters; no stretch is cut."""
+    at = 0
+    while len(marked) - at > PART_CHARS and (found := FIRST_MARK.search(marked, at + PART_CHARS)):
+        yield marked[at : found.start()]
+        at = found.start()
+    yield marked[at:]
+
+
 class PieceModel:
     """A streaming left-to-right search over a BPE piece table.
 
@@ -47,6 +71,9 @@ class PieceModel:
         inner = [p for p in self.ids if MARK in p[1:] and p.strip(MARK)]
         if inner or model.encode("a  b\n", out_type=str)[0][0] != MARK:
             raise ValueError("only models that split at white space and keep all of it are supported")
+        #: Characters side by side in some piece. No piece and no merge reaches over any other two, so what
+        #: lies between such places is coded by itself.
+        self.joined = {a + b for piece in self.ids for a, b in zip(piece, piece[1:], strict=False)}
         #: A tree of the pieces' characters: what may follow, and the piece that ends here, if any.
         self.tree: dict = {}
         for piece in self.ids:
@@ -61,7 +88,7 @@ class PieceModel:
         self.raw = [raw[k] for k in range(size)]
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.stretches: dict[str, bytes] = {}
+        self.stretches = Kept(self._coded)
         self.older: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -152,34 +179,45 @@ class PieceModel:
             at -= len(last[at])
         return reversed(found)
 
+    def _units(self, stretch: str) -> list[str]:
+        """``stretch``, cut between characters that no piece has side by side."""
+        joined = self.joined
+        cuts = [k for k, pair in enumerate(map(add, stretch, stretch[1:]), 1) if pair not in joined]
+        return [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)] if cuts else [stretch]
+
+    def _coded(self, stretch: str) -> bytes:
+        """The ids of a stretch or unit that the newer generation lacks; it has them then, if that is short."""
+        known, older = self.stretches, self.older
+        ids = older.get(stretch)
+        if ids is None:
+            units = self._units(stretch)
+            if len(units) > 1:
+                ids = b"".join([known[unit] for unit in units])
+            else:
+                found = array("i")
+                self._search(stretch, found)
+                ids = found.tobytes()
+        if len(stretch) <= 64:
+            known[stretch] = ids
+        return ids
+
     def encode(self, text: str) -> array:
         """Ids of ``text``, without begin and end; an empty text has none."""
         out = array("i")
         if text:
-            if len(self.stretches) >= KEPT_STRETCHES:
-                self.older, self.stretches = self.stretches, {}
-            if self.n_pairs >= KEPT_PAIRS:
-                self.pairs.clear()
-                self.n_pairs = 0
-            known, older = self.stretches, self.older
-            for found in STRETCH.finditer(MARK + text.replace(" ", MARK)):
-                stretch = found[0]
-                ids = known.get(stretch)
-                if ids is None:
-                    ids = older.get(stretch)
-                    if ids is None:
-                        found_ids = array("i")
-                        self._search(stretch, found_ids)
-                        ids = found_ids.tobytes()
-                    if len(stretch) <= 64:
-                        known[stretch] = ids
-                out.frombytes(ids)
+            for part in _parts_of(MARK + text.replace(" ", MARK)):
+                if len(self.stretches) >= KEPT_STRETCHES:
+                    self.older, self.stretches = dict(self.stretches), Kept(self._coded)
+                if self.n_pairs >= KEPT_PAIRS:
+                    self.pairs.clear()
+                    self.n_pairs = 0
+                out.frombytes(b"".join(map(self.stretches.__getitem__, STRETCH.findall(part))))
         return out
 
     def decode(self, ids: array) -> str:
         """The text of ``ids``. The mark itself decodes as a space, bytes that are no UTF-8 as U+FFFD."""
         raw = self.raw
-        return b"".join([raw[k] for k in ids]).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 @functools.cache

@@ -131,6 +131,25 @@ def test_a_worker_keeps_few_stretches_of_many():
     assert len(model.stretches) + len(model.older) <= 1 << 18
 
 
+def test_a_stretch_is_searched_in_units_that_no_piece_reaches_over(monkeypatch):
+    rng, model = random.Random(12), pieces.PieceModel(PIECES)
+    words = [sentence(rng, 1) for _ in range(30)]
+    text = " ".join(f"{a}\n{b}" for a in words for b in words)
+    searched = []
+    original = model._search
+    monkeypatch.setattr(model, "_search", lambda s, out: searched.append(s) or original(s, out))
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert model.encode(text).tolist() == library.encode(text)
+    assert len(searched) < 200  # 900 stretches, one by one, before
+
+
+def test_parts_of_a_text_give_the_same_pieces(monkeypatch):
+    rng, library = random.Random(13), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [sentence(rng, 60), " " * 40 + "a  b   c" * 9, "x" * 90 + "  y" * 30 + " ", "▁▁a ▁ b▁c " * 9]
+    monkeypatch.setattr(pieces, "PART_CHARS", 5)
+    assert [pieces.PieceModel(PIECES).encode(t).tolist() for t in texts] == [library.encode(t) for t in texts]
+
+
 def plain_base(text):
     words = WORDS.findall(text or "")
     windows = list(zip(words, words[1:], words[2:], strict=False))
